@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, langid, packing, simhash, toxicity
-from tabulon.llm.common import scratch_path, table
+from tabulon.llm.common import by_position, scratch_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; learned from the labels of the documents at hand."""
     score = toxicity.scorer(docs, toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
-    return docs.where(score(F.col("text")) < 0.5)
+    plain, at, names = by_position(docs)
+    return plain.where(score(F.col(at["text"])) < 0.5).toDF(*names)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without a letter go."""
     predict = langid.predictor(docs, langid.train(langid.training_rows(docs)))
-    return docs.where(predict(F.col("text"))["lang_pred"] != "und")
+    plain, at, names = by_position(docs)
+    return plain.where(predict(F.col(at["text"]))["lang_pred"] != "und").toDF(*names)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

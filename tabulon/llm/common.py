@@ -28,6 +28,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{cols.index(n)}").alias(n) for n in names])
 
 
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """``df`` with unambiguous names, the name that stands for each column name, and the names to give back by toDF."""
+    names = df.columns
+    return df.toDF(*[f"_c{i}" for i in range(len(names))]), {n: f"_c{names.index(n)}" for n in names}, names
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

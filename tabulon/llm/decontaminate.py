@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, texts
+from .common import by_position, pick, slices, texts
 
 #: Tokens of a window, literal ones it needs, tokens of a run that make a document contaminated.
 WINDOW, LITERALS, RUN = 8, 5, 10
@@ -222,4 +222,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without doc_id stay."""
     bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    plain, at, names = by_position(docs)
+    return plain.join(bad, F.col(at["doc_id"]) == F.col("_bad"), "left_anti").toDF(*names)

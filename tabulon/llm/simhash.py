@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, slices, texts
+from .common import by_position, materialise, pick, slices, texts
 from .graph import connected_components
 
 TILE = 16_384
@@ -338,6 +338,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     from pyspark.sql import Window
 
     lost = near_copies(docs, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    left = docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return left.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row")
+    plain, at, names = by_position(docs)
+    doc_id, text = at["doc_id"], at["text"]
+    left = plain.join(lost, F.col(doc_id) == F.col("_lost"), "left_anti")
+    same = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.xxhash64(text))).orderBy(F.xxhash64(text))
+    return left.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row").toDF(*names)
