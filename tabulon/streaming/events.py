@@ -93,11 +93,10 @@ def session_starts(events: DataFrame, actor: str, ts: Column, order: list[str],
 def sessions(events: DataFrame, actor: str, ts: Column, gap_ms: int = GAP_MS) -> DataFrame:
     """``actor, session_id, start_ms, end_ms, n_events``: sessions with an inclusive gap, whatever the order of arrival.
 
-    ``session_window`` merges sessions by key with partial aggregation; its gap is exclusive,
-    so a millisecond is added.
+    ``session_window`` merges sessions by key with partial aggregation; an event at the very end of the gap still merges.
     """
     own = events.select(F.col(actor).alias("actor"), ts.alias("ms"))
-    at = F.session_window(F.timestamp_millis("ms"), f"{gap_ms + 1} milliseconds")
+    at = F.session_window(F.timestamp_millis("ms"), f"{gap_ms} milliseconds")
     out = own.groupBy("actor", at).agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count("*").alias("n_events"))
     return out.select("actor", F.concat(F.lit("s_"), F.col("actor").cast("string"), F.lit("_"), F.col("start_ms").cast("string")).alias("session_id"), "start_ms", "end_ms", "n_events")
 
