@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabulon.functions import values as V
 from tabulon.functions.conditional import matches
+from tabulon.plans import formula as f
 from tabulon.plans.compiler import DEFAULT_NOW_MS, Compiler, result
 
 
@@ -25,10 +26,11 @@ class Table:
     position: str | None = None
     hidden: str | None = None
     names: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, Table] = field(default_factory=dict)  # named tables that lookups refer to
     now_ms: int = DEFAULT_NOW_MS
 
     def _compiler(self, **more) -> Compiler:
-        return Compiler(self.frame, now_ms=self.now_ms, names={k.upper(): v for k, v in self.names.items()}, position=self.position, hidden=self.hidden, **more)
+        return Compiler(self.frame, now_ms=self.now_ms, names={k.upper(): v for k, v in self.names.items()}, tables={k.upper(): v for k, v in self.tables.items()}, position=self.position, hidden=self.hidden, **more)
 
     def derive(self, columns: dict[str, str] | None = None, errors: str = "null", **more: str) -> Table:
         """New columns by row formulas; a column of that name is replaced. errors: ``null`` or ``display``."""
@@ -61,6 +63,23 @@ class Table:
         made = [result(c.compile(text), errors).alias(name) for name, text in formulas.items()]
         return c.staged.groupBy(*by).agg(*made) if by else c.staged.agg(*made)
 
+    def spill(self, text: str) -> DataFrame:
+        """The rows of a formula that gives an array: UNIQUE, SORT, SORTBY, FILTER, SEQUENCE, TRANSPOSE, TEXTSPLIT.
+
+        Arguments that are arrays are columns or row formulas; rows come in order where the function orders them.
+        """
+        node = f.parse(text)
+        if not isinstance(node, f.Call) or node.name not in _SPILLS:
+            raise f.FormulaError("not a formula that gives an array")
+        return _SPILLS[node.name](self, node.args)
+
+    def _with(self, nodes: Sequence) -> tuple[DataFrame, list[str]]:
+        """The frame with row formulas as columns a0, a1, ..., and their names."""
+        c = self._compiler()
+        made = [result(c.value(n)).alias(f"a{i}") for i, n in enumerate(nodes)]
+        keep = [F.col(self.position).alias("_pos")] if self.position else [F.monotonically_increasing_id().alias("_pos")]
+        return c.staged.select(*keep, *made), [f"a{i}" for i in range(len(nodes))]
+
     def find(self, term: str, headers: Sequence[str], match_case: bool = False, whole: bool = False) -> DataFrame:
         """Rows and columns whose shown text holds a term; letters A-Z fold unless ``match_case``."""
         c = self._compiler()
@@ -229,3 +248,55 @@ def conditional_format(df: DataFrame, rules: Sequence[tuple[str, dict[str, str]]
         found = [F.when(t, F.lit(s[a])) for t, s in tests if a in s]
         made.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(a))
     return c.staged.select(*df.columns, *made)
+
+
+# --- formulas that give arrays
+
+
+def _constant(t: Table, args: tuple, i: int, default):
+    return t._compiler().constant(args[i] if i < len(args) else None, default)
+
+
+def _spill_unique(t: Table, args: tuple) -> DataFrame:
+    df, names = t._with(args[:1])
+    return unique_rows(df, names, "_pos", bool(_constant(t, args, 2, False))).orderBy("_pos").drop("_pos")
+
+
+def _spill_sort(t: Table, args: tuple) -> DataFrame:
+    df, names = t._with(args[:1])
+    return sort_rows(df, [(names[0], _constant(t, args, 2, 1.0) >= 0)], "_pos").drop("_pos")
+
+
+def _spill_sortby(t: Table, args: tuple) -> DataFrame:
+    df, names = t._with([args[0], *args[1::2]])
+    ways = [_constant(t, args, 2 + 2 * i, 1.0) >= 0 for i in range(len(names) - 1)]
+    return sort_rows(df, list(zip(names[1:], ways, strict=True)), "_pos").select("a0")
+
+
+def _spill_filter(t: Table, args: tuple) -> DataFrame:
+    c = t._compiler()
+    mask = V.to_bool(c.value(args[1]))
+    good = F.lit(True) if mask.err is None else mask.err.isNull()
+    shown = result(c.value(args[0])).alias("a0")
+    kept = c.staged.where(good & F.coalesce(mask.col, F.lit(False)))
+    return kept.select(shown)
+
+
+def _spill_sequence(t: Table, args: tuple) -> DataFrame:
+    rows, columns = int(_constant(t, args, 0, 1.0)), int(_constant(t, args, 1, 1.0))
+    if rows < 1 or columns < 1:
+        raise f.FormulaError(V.VALUE)
+    return sequence_rows(t.frame.sparkSession, rows, columns, _constant(t, args, 2, 1.0), _constant(t, args, 3, 1.0))
+
+
+def _spill_textsplit(t: Table, args: tuple) -> DataFrame:
+    df, names = t._with(args[:1])
+    return text_split(df, names[0], [str(_constant(t, args, 1, ""))], ["_pos"], bool(_constant(t, args, 3, False)))
+
+
+def _spill_transpose(t: Table, args: tuple) -> DataFrame:
+    df, names = t._with(args[:1])
+    return df.select(F.lit(0).alias("r"), F.col("_pos").alias("c"), F.col(names[0]).alias("value"))
+
+
+_SPILLS = {"UNIQUE": _spill_unique, "SORT": _spill_sort, "SORTBY": _spill_sortby, "FILTER": _spill_filter, "SEQUENCE": _spill_sequence, "TEXTSPLIT": _spill_textsplit, "TRANSPOSE": _spill_transpose}

@@ -34,6 +34,7 @@ class Compiler:
     mode: str = "row"  # "row", "summary"
     now_ms: int = DEFAULT_NOW_MS
     names: dict[str, str] = field(default_factory=dict)
+    tables: dict[str, object] = field(default_factory=dict)  # named tables, for lookups
     bound: dict[str, V.Value] = field(default_factory=dict)
     position: str | None = None  # a column with the row's position, for what depends on order
     hidden: str | None = None  # a boolean column: rows a filter hides
@@ -207,7 +208,7 @@ def result(v: V.Value, errors: str = "null") -> Column:
 
 
 def load_functions() -> None:
-    from tabulon.functions import aggregates, conditional, dates, finance, logic, mathematics, numberformat, texts  # noqa: F401
+    from tabulon.functions import aggregates, conditional, dates, finance, logic, lookups, mathematics, numberformat, texts  # noqa: F401
 
 
 load_functions()

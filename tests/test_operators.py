@@ -162,3 +162,29 @@ def test_diff_and_duplicates(spark):
     assert got == {2: "changed", 3: "removed", 4: "added"}
     d = spark.createDataFrame([(1, "A"), (2, "a"), (3, None), (4, None), (5, "c")], "k int, v string")
     assert {r.k: r.duplicate for r in table.duplicates(d, "v").collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_lookups_of_named_tables(spark):
+    rates = table.Table(spark.createDataFrame([("basic", 120.0, 0), ("plus", 300.0, 1), ("PLUS", 1.0, 2), ("pro", None, 3)], "tier string, owed double, p int"), position="p")
+    bands = table.Table(spark.createDataFrame([(0.0, "low", 0), (100.0, "mid", 1), (200.0, "high", 2)], "at double, name string, p int"), position="p")
+    df = spark.createDataFrame([(0, "Plus", 150.0), (1, "none", -5.0), (2, "pro", 200.0)], "pos int, tier string, x double")
+    t = table.Table(df, position="pos", tables={"Rates": rates, "Bands": bands})
+    out = t.derive(
+        {"v": "VLOOKUP({tier},Rates,2,FALSE)", "w": 'XLOOKUP({tier},Rates.tier,Rates.owed,"no")', "b": "VLOOKUP({x},Bands,2,TRUE)", "m": "MATCH({tier},Rates.tier,0)", "i": "INDEX(Bands.name,2)", "j": "IFERROR(INDEX(Bands,9,1),0)", "n": "ROWS(Bands)*ROW()", "l": "LOOKUP({x},Bands.at,Bands.name)"},
+        errors="display",
+    ).frame.orderBy("pos").collect()
+    assert [tuple(r[k] for k in "vwbmijnl") for r in out] == [("300", "300", "mid", "2", "mid", "0", "3", "mid"), ("#N/A", "no", "#N/A", "#N/A", "mid", "0", "6", "#N/A"), ("0", "", "high", "4", "mid", "0", "9", "high")]
+
+
+def test_formulas_that_give_arrays(spark):
+    df = spark.createDataFrame([(0, "b", 2.0), (1, "A", 1.0), (2, "a", 3.0), (3, None, 4.0)], "p int, t string, x double")
+    t = table.Table(df, position="p")
+    column = lambda text: [r[0] for r in t.spill(text).collect()]
+    assert column("UNIQUE({t})") == ["b", "A", None]
+    assert column("UNIQUE({t},FALSE,TRUE)") == ["b", None]
+    assert column("SORT({t})") == ["A", "a", "b", None]
+    assert column("SORTBY({t},{x},-1)") == [None, "a", "b", "A"]
+    assert sorted(column("FILTER({x}*10,{x}>1)")) == [20.0, 30.0, 40.0]
+    assert [tuple(r) for r in t.spill("SEQUENCE(2,2,5)").orderBy("r", "c").collect()] == [(0, 0, 5.0), (0, 1, 6.0), (1, 0, 7.0), (1, 1, 8.0)]
+    pieces = t.spill('TEXTSPLIT("x-y-"&{t},"-")').orderBy("_pos", "pos").collect()
+    assert [r.piece for r in pieces][:3] == ["x", "y", "b"]
