@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +137,83 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path)
     bad = lines.where(F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).isNull() | ~F.trim("value").startswith("{"))
     return raw.where("_corrupt_record is null").drop("_corrupt_record"), bad
+
+
+def sampled_navigation(events: DataFrame, action: str = "nav.select", per_second: int = 2) -> DataFrame:
+    """All events but navigation above a rate: of a session's second the first ones and, last, the latest stay."""
+    second = Window.partitionBy("session_id", F.floor(F.col("ts_ms") / 1000))
+    order = Window.partitionBy("session_id", F.floor(F.col("ts_ms") / 1000)).orderBy("ts_ms", "seq")
+    nav = events.where(F.col("action") == action).withColumns({"_i": F.row_number().over(order), "_n": F.count("*").over(second)})
+    kept = nav.where((F.col("_i") < per_second) | (F.col("_i") == F.col("_n"))).drop("_i", "_n")
+    return events.where(F.col("action").isNull() | (F.col("action") != action)).unionByName(kept)
+
+
+def rate_limited(batches: DataFrame, key: str, ts_ms: str, capacity: int = 120, window_ms: int = 60_000) -> DataFrame:
+    """``batches`` with ``allowed``: a token bucket per key, refilled evenly over the window."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts_ms, kind="stable")
+        tokens, last, out = float(capacity), None, []
+        for t in pdf[ts_ms]:
+            if last is not None:
+                tokens = min(capacity, tokens + (t - last) * capacity / window_ms)
+            last = t
+            out.append(tokens >= 1)
+            tokens -= out[-1]
+        return pdf.assign(allowed=out)
+
+    return batches.groupBy(key).applyInPandas(run, batches.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", allowed boolean")
+
+
+#: Literals of an unparsed formula are blanked before it is kept.
+_LITERALS = r'"(?:[^"]|"")*"'
+
+
+def token(action: str, payload: dict) -> str | None:
+    """An event as a gesture: the action, and a formula's shape with its literals blanked; navigation has none."""
+    from tabulon.plans import formula as f
+
+    if action.startswith("nav."):
+        return None
+    text, at = payload.get("input") or payload.get("formula"), payload.get("addr") or payload.get("at")
+    if not isinstance(text, str) or not text.startswith("="):
+        return action
+    try:
+        blank = lambda n: f.Number(0.0) if isinstance(n, f.Number) else f.Text("") if isinstance(n, f.Text) else n
+        tree = _mapped(f.parse(text), blank)
+        here = f.parse_cell(at) if isinstance(at, str) else f.Cell(*(at["row"], at["col"])) if isinstance(at, dict) else f.Cell(0, 0)
+        return f"{action}:{f.shape(tree, here.row, here.col)}"
+    except (f.FormulaError, KeyError, TypeError):
+        import re
+
+        return f"{action}:{re.sub(_LITERALS, '', text)}"
+
+
+def _mapped(node, change):
+    from tabulon.plans import formula as f
+
+    if isinstance(node, f.Call):
+        return f.Call(node.name, tuple(_mapped(a, change) for a in node.args))
+    if isinstance(node, f.Unary):
+        return f.Unary(node.op, _mapped(node.arg, change))
+    if isinstance(node, f.Binary):
+        return f.Binary(node.op, _mapped(node.left, change), _mapped(node.right, change))
+    return change(node)
+
+
+def tokens(events: DataFrame) -> DataFrame:
+    """``events`` with ``token``; events that are no gesture go."""
+    import json
+
+    def run(actions: pa.Array, payloads: pa.Array) -> pa.Array:
+        out = []
+        for a, p in zip(actions.to_pylist(), payloads.to_pylist(), strict=True):
+            try:
+                known = json.loads(p or "{}")
+            except ValueError:
+                known = {}
+            out.append(None if a is None else token(a, known if isinstance(known, dict) else {}))
+        return pa.array(out, pa.string())
+
+    return events.withColumn("token", F.arrow_udf(run, "string")("action", "payload")).where("token is not null")

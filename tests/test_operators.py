@@ -188,3 +188,15 @@ def test_formulas_that_give_arrays(spark):
     assert [tuple(r) for r in t.spill("SEQUENCE(2,2,5)").orderBy("r", "c").collect()] == [(0, 0, 5.0), (0, 1, 6.0), (1, 0, 7.0), (1, 1, 8.0)]
     pieces = t.spill('TEXTSPLIT("x-y-"&{t},"-")').orderBy("_pos", "pos").collect()
     assert [r.piece for r in pieces][:3] == ["x", "y", "b"]
+
+
+def test_gestures_rates_and_samples(spark):
+    rows = [envelope(str(i), action=a, seq=i)[:6] + (100 * i, a, p, ("S", "A1", "full"), "c") for i, (a, p) in enumerate([
+        ("cell.edit", '{"input": "=B1*2+\\"x\\"", "addr": "A1"}'), ("cell.edit", '{"input": "=B2*9+\\"yy\\"", "addr": "A2"}'), ("nav.select", "{}"), ("nav.select", "{}"), ("nav.select", "{}"), ("format.apply", None), ("cell.edit", "not json"), ("cell.edit", '{"input": "=SUM(\\"secret\\""}'),
+    ])]
+    e = spark.createDataFrame(rows, log.SCHEMA)
+    got = [r.token for r in log.tokens(e).orderBy("seq").collect()]
+    assert got[0] == got[1] == 'cell.edit:R[0]C[1]*0+""' and got[2:] == ["format.apply", "cell.edit", "cell.edit:=SUM("]
+    assert sorted(r.seq for r in log.sampled_navigation(e).collect()) == [0, 1, 2, 4, 5, 6, 7]
+    b = spark.createDataFrame([("u", t) for t in (0, 1, 2, 45, 90)], "k string, t long")
+    assert [r.allowed for r in log.rate_limited(b, "k", "t", capacity=2, window_ms=80).orderBy("t").collect()] == [True, True, False, True, True]
