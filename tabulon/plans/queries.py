@@ -197,6 +197,25 @@ def workbook_diff(spark, d):
     return lookup.diff(o.where("o_orderkey % 10 <> 3"), after, ["o_orderkey"], ["o_totalprice"])
 
 
+@query("""SELECT c_custkey, coalesce(n_name, 'none') AS nation, round(c_acctbal / (SELECT count(*) FROM nation), 4) AS per_nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def lookup_formulas(spark, d):
+    nation = Table(_read(spark, d, "nation"), position="n_nationkey")
+    t = Table(_read(spark, d, "customer"), tables={"Nation": nation})
+    t = t.derive(nation='XLOOKUP({c_nationkey},Nation.n_nationkey,Nation.n_name,"none")', per_nation="ROUND({c_acctbal}/ROWS(Nation),4)")
+    return t.frame.select("c_custkey", "nation", "per_nation")
+
+
+@query("""SELECT lower(min(p_type)) AS a0 FROM part GROUP BY lower(p_type)""")
+def spill_unique(spark, d):
+    return Table(_read(spark, d, "part"), position="p_partkey").spill("UNIQUE(LOWER({p_type}))")
+
+
+@query("""SELECT o_orderkey AS a0 FROM orders WHERE o_totalprice > 150000 AND o_orderstatus = 'P'""")
+def spill_filter(spark, d):
+    out = Table(_read(spark, d, "orders")).spill('FILTER({o_orderkey},AND({o_totalprice}>150000,{o_orderstatus}="P"))')
+    return out.select(F.col("a0").cast("long").alias("a0"))
+
+
 # --- arrays: distinct rows, sorts, series
 
 
