@@ -239,12 +239,12 @@ def filter_rows(spark, d):
     return Table(_read(spark, d, "lineitem")).where("AND({l_quantity}>45,{l_discount}<2%)").frame.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""SELECT CAST(i // 4 AS BIGINT) AS r, CAST(i % 4 AS BIGINT) AS c, 10 + i * 0.5 AS value FROM (SELECT unnest(range(200)) AS i)""")
+@query("""SELECT CAST(i // 4 AS BIGINT) AS r, CAST(i % 4 AS BIGINT) AS c, CAST(10 + i * 0.5 AS DOUBLE) AS value FROM (SELECT unnest(range(200)) AS i)""")
 def sequence_rows(spark, d):
     return table.sequence_rows(spark, 50, 4, 10, 0.5).withColumn("value", F.col("value").cast("double"))
 
 
-@query("""SELECT o_orderkey, 5 + 2.5 * o_orderkey AS series, [1.0, 4.0, 2.0][1 + o_orderkey % 3]::DOUBLE AS cycle FROM orders""")
+@query("""SELECT o_orderkey, CAST(5 + 2.5 * o_orderkey AS DOUBLE) AS series, [1.0, 4.0, 2.0][1 + o_orderkey % 3]::DOUBLE AS cycle FROM orders""")
 def fill_series(spark, d):
     o = _read(spark, d, "orders").select("o_orderkey")
     return table.fill_series(table.fill_series(o, "o_orderkey", [5, 7.5, 10], "series"), "o_orderkey", [1, 4, 2], "cycle")
