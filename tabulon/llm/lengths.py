@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, slices, texts
+from .common import materialise, pick, slices, texts
 from .tokens import default_path, encoder
 
 #: Lengths of one block of the two-level sums.
@@ -42,9 +42,10 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     n_docs: documents of just L tokens; docs_over, tokens_over: documents longer than L and
     their tokens; truncated_tokens: the sum of min(length, L) over all documents; lost_tokens:
     the rest; docs_share: share of documents that fit (so the quantile function, read by
-    rows). Sums go over blocks of lengths first, so no step sorts all rows in one task.
+    rows). Sums go over blocks of lengths first, so no step sorts all rows in one task. The
+    histogram is read twice, so it is written to the shared folder first.
     """
-    h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    h = materialise(histogram, "lengths").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     # one row per block of 1024 lengths: the longest document sets how many there are
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
