@@ -159,20 +159,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, bloc
     linked = rooted.where("root <> fp").select("root").distinct()
     groups = rooted.join(linked, "root", "left_semi")
     least = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    labels = distinct.join(least, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a table of its own, so that the last join has an exchange on both sides and a fingerprint of many rows can be split
+    labels = materialise(distinct.join(least, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "fp-labels")
     return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 
 # Near copies at a set similarity, for deduplication: wider fingerprints, sampled blocks, exact check.
 
-#: Fingerprint words of 64 bits, bits of a block key, block keys: at similarity 0.8 a pair differs in 15 % of
+#: Bits of a block key, and block keys (of 128 bits): at similarity 0.8 a pair differs in 15 % of
 #: the bits, shares a key of 16 bits with probability 0.07 and one of 64 keys with probability 0.99.
-COPY_WORDS, COPY_KEY_BITS, COPY_KEYS = 2, 16, 64
+COPY_KEY_BITS, COPY_KEYS = 16, 64
+#: Keys that link before the others.
+COPY_FIRST = 8
 #: Differing bits a candidate may have: at similarity 0.8 the mean is 19.4 of 128 and the deviation 4.
 COPY_DISTANCE = 32
 #: Documents and text bytes of one chunk in the exact check.
-COPY_CHUNK, COPY_CHUNK_BYTES = 1024, 8 << 20
+COPY_CHUNK, COPY_CHUNK_BYTES = 4096, 8 << 20
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
