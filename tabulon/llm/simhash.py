@@ -225,20 +225,22 @@ def sampled_keys() -> list[tuple[int, int]]:
     return out
 
 
-def spanning_wide(node: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that connect what ``most`` differing bits connect; fewer links than nodes."""
+def spanning_wide(root: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links between the roots of nodes that connect what ``most`` differing bits connect; nodes of a root are connected as it is."""
     out: list[tuple[int, int]] = []
-    left = np.arange(len(node))
+    left = np.arange(len(root))
     while left.size > 1:
-        todo, left = [left[0]], left[1:]
+        same = root[left] == root[left[0]]
+        todo, left = list(left[same]), left[~same]
         while todo and left.size:
             p = todo.pop()
-            near = np.bitwise_count(f[left] ^ f[p]).sum(axis=1) <= most
-            if near.any():
-                got = left[near]
-                left = left[~near]
-                todo.extend(got)
-                out.extend((int(node[p]), int(x)) for x in node[got])
+            near = left[np.bitwise_count(f[left] ^ f[p]).sum(axis=1) <= most]
+            if near.size:
+                own = np.unique(root[near])
+                got = np.isin(root[left], own)
+                todo.extend(left[got])
+                left = left[~got]
+                out.extend((int(root[p]), int(r)) for r in own)
     return out
 
 
@@ -261,7 +263,7 @@ def similar_links(node: list[int], items: list[str], width: int, similarity: flo
             continue
         reached[first] = True
         todo = [first]
-        while todo:
+        while todo and not reached.all():
             i = todo.pop()
             own = term[ends[i] - size[i] : ends[i]]
             if not len(own):
@@ -284,6 +286,37 @@ def _link_array(groups: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64())], ["a", "b"]))
 
 
+def candidate_links(rooted: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
+    """``(a, b)``: links between roots, from nodes (node, root, f0, f1) that share a key and are close."""
+    taken = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.xxhash64(F.col("f0").bitwiseAND(F.lit(a)), F.col("f1").bitwiseAND(F.lit(b))).alias("v")) for i, (a, b) in enumerate(keys)]))
+    keyed = rooted.select(F.struct("root", "f0", "f1").alias("item"), taken.alias("_key")).select("item", "_key.k", "_key.v")
+
+    def candidates(groups: pa.Array) -> pa.Array:
+        out = []
+        for g in groups:
+            v = g.values
+            f = np.column_stack([v.field(1).to_numpy(), v.field(2).to_numpy()]).view(np.uint64)
+            out.append(spanning_wide(v.field(0).to_numpy(), f, COPY_DISTANCE))
+        return _link_array(out)
+
+    dealt = tiles(keyed, ["k", "v"], "item", TILE).groupBy("k", "v", "ti", "tj").agg(F.collect_list("item").alias("items"))
+    return dealt.select(F.explode(F.arrow_udf(candidates, _LINKS)("items")).alias("e")).select("e.a", "e.b")
+
+
+def candidate_clusters(nodes: DataFrame) -> DataFrame:
+    """``(node, root)`` of the nodes that have a candidate: components of close fingerprints.
+
+    A few keys come first: what they connect needs no link again, so a dense group costs the
+    other keys no more than a sparse one.
+    """
+    keys = sampled_keys()
+    first = connected_components(candidate_links(nodes.withColumn("root", F.col("node")), keys[:COPY_FIRST]))
+    rooted = materialise(nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "f0", "f1"), "rooted")
+    second = connected_components(candidate_links(rooted, keys[COPY_FIRST:])).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    labels = rooted.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return labels.join(labels.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root", "left_semi")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: a row per row of ``docs``; components of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
@@ -297,21 +330,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """
     sig = materialise(signatures(docs, width), "signatures")
     nodes = materialise(sig.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("least")).groupBy("node").agg(F.min_by(F.struct("f0", "f1", "least"), "least").alias("x"), F.min("least").alias("least")).select("node", F.coalesce("x.f0", F.lit(0)).alias("f0"), F.coalesce("x.f1", F.lit(0)).alias("f1"), "least"), "nodes")
-    taken = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.xxhash64(F.col("f0").bitwiseAND(F.lit(a)), F.col("f1").bitwiseAND(F.lit(b))).alias("v")) for i, (a, b) in enumerate(sampled_keys())]))
-    keyed = nodes.select(F.struct("node", "f0", "f1").alias("item"), taken.alias("_key")).select("item", "_key.k", "_key.v")
-
-    def candidates(groups: pa.Array) -> pa.Array:
-        out = []
-        for g in groups:
-            v = g.values
-            f = np.column_stack([v.field(1).to_numpy(), v.field(2).to_numpy()]).view(np.uint64)
-            out.append(spanning_wide(v.field(0).to_numpy(), f, COPY_DISTANCE))
-        return _link_array(out)
-
-    dealt = tiles(keyed, ["k", "v"], "item", TILE).groupBy("k", "v", "ti", "tj").agg(F.collect_list("item").alias("items"))
-    found = dealt.select(F.explode(F.arrow_udf(candidates, _LINKS)("items")).alias("e")).select("e.a", "e.b")
-    clusters = connected_components(found)
-
+    clusters = candidate_clusters(nodes)
     members = clusters.join(nodes, "node").where("least is not null").select("root", "node", "least")
     full = pick(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("least"))
     full = full.groupBy("root", "node").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
