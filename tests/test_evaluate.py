@@ -34,3 +34,11 @@ def test_workbooks_in_parallel(spark):
     rows = [(w, "S", 0, 0, str(w)) for w in range(5)] + [(w, "S", 1, 0, "=A1*2") for w in range(5)] + [(0, "S", 2, 0, "=1/0")]
     got = {(r.w, r.r): (r.kind, r.display) for r in ev.evaluate(spark.createDataFrame(rows, "w int, sheet string, r int, c int, input string"), "w").collect()}
     assert got[4, 1] == ("num", "8") and got[0, 2] == ("error", "#DIV/0!") and len(got) == 11
+
+
+def test_every_customer_is_evaluated(spark):
+    from tabulon.plans import queries as q
+
+    d = "/root/testdata/sf0.001"
+    got = [r.c_custkey for r in q.queries()["workbook_values_whole"](spark, d).collect()]
+    assert sorted(got) == sorted(r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect())
