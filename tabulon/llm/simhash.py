@@ -165,15 +165,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_distance: int = 3, bloc
 
 
 
-# Near copies at a set similarity, for deduplication: wider fingerprints, sampled blocks, exact check.
+# Near copies at a set similarity, for deduplication: wider fingerprints, prefix filter, exact check.
 
-#: Bits of a block key, and block keys (of 128 bits): at similarity 0.8 a pair differs in 15 % of
-#: the bits, shares a key of 16 bits with probability 0.07 and one of 64 keys with probability 0.99.
-COPY_KEY_BITS, COPY_KEYS = 16, 64
-#: Keys that link before the others.
-COPY_FIRST = 8
+#: Bits of a sampled block key (of 128 bits), and such keys: they link dense groups before the prefixes do.
+COPY_KEY_BITS, COPY_FIRST = 16, 8
 #: Differing bits a candidate may have: at similarity 0.8 the mean is 19.4 of 128 and the deviation 4.
-COPY_DISTANCE = 32
+#: Summed over the binomial a pair has more with probability 1.3e-6 (at worst 6.4e-6 for sets of up to
+#: 60 shingles, 2.3e-4 for sets of 5).
+COPY_DISTANCE = 40
 #: Documents and text bytes of one chunk in the exact check.
 COPY_CHUNK, COPY_CHUNK_BYTES = 4096, 8 << 20
 
@@ -192,9 +191,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(text: str, width: int) -> tuple[int, int, int]:
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the order of a second hash: two sets of a Jaccard similarity of ``similarity`` or more share one of theirs."""
+    n = len(hashes)
+    most = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    return np.sort(_mix(hashes))[:most]
+
+
+def signature(one: np.ndarray) -> tuple[int, int, int]:
     """A hash of the shingle set and the set's SimHash of 128 bits, as signed longs."""
-    one = shingle_hashes(text, width)
     own = int(_mix(one + np.uint64(len(one))).sum(dtype=np.uint64)) if len(one) else 0
     if not len(one):
         return 0, 0, 0
@@ -203,23 +208,27 @@ def signature(text: str, width: int) -> tuple[int, int, int]:
     return _signed(own), _signed(int(bits[0])), _signed(int(bits[1]))
 
 
-def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, node, f0, f1)`` per row; equal shingle sets have equal nodes."""
+def signatures(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, node, f0, f1, firsts)`` per row; equal shingle sets have equal nodes, firsts is the set's prefix."""
     src = pick(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            cols = list(zip(*(signature(t, width) for t in texts(b.column(1))), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "node", "f0", "f1"])
+            sets = [shingle_hashes(t, width) for t in texts(b.column(1))]
+            cols = list(zip(*map(signature, sets), strict=True))
+            firsts = [prefix(x, similarity) for x in sets]
+            ends = pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols), lists], ["doc_id", "node", "f0", "f1", "firsts"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node long, f0 long, f1 long")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node long, f0 long, f1 long, firsts array<long>")
 
 
 def sampled_keys() -> list[tuple[int, int]]:
     """For each key the bits of both fingerprint words that it takes."""
     rng = np.random.default_rng(64_128)
     out = []
-    for _ in range(COPY_KEYS):
+    for _ in range(COPY_FIRST):
         m = sum(1 << int(i) for i in rng.choice(128, COPY_KEY_BITS, replace=False))
         out.append((_signed(m & (1 << 64) - 1), _signed(m >> 64)))
     return out
@@ -286,10 +295,14 @@ def _link_array(groups: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64())], ["a", "b"]))
 
 
-def candidate_links(rooted: DataFrame, keys: list[tuple[int, int]]) -> DataFrame:
-    """``(a, b)``: links between roots, from nodes (node, root, f0, f1) that share a key and are close."""
-    taken = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.xxhash64(F.col("f0").bitwiseAND(F.lit(a)), F.col("f1").bitwiseAND(F.lit(b))).alias("v")) for i, (a, b) in enumerate(keys)]))
-    keyed = rooted.select(F.struct("root", "f0", "f1").alias("item"), taken.alias("_key")).select("item", "_key.k", "_key.v")
+def sampled(keys: list[tuple[int, int]]):
+    """Keys ``(k, v)`` of a node: its fingerprint's sampled bits."""
+    return F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.xxhash64(F.col("f0").bitwiseAND(F.lit(a)), F.col("f1").bitwiseAND(F.lit(b))).alias("v")) for i, (a, b) in enumerate(keys)])
+
+
+def candidate_links(rooted: DataFrame, keys) -> DataFrame:
+    """``(a, b)``: links between roots, from nodes (node, root, f0, f1) that share one of ``keys`` (an array of k, v) and are close."""
+    keyed = rooted.select(F.struct("root", "f0", "f1").alias("item"), F.explode(keys).alias("_key")).select("item", "_key.k", "_key.v")
 
     def candidates(groups: pa.Array) -> pa.Array:
         out = []
@@ -306,13 +319,13 @@ def candidate_links(rooted: DataFrame, keys: list[tuple[int, int]]) -> DataFrame
 def candidate_clusters(nodes: DataFrame) -> DataFrame:
     """``(node, root)`` of the nodes that have a candidate: components of close fingerprints.
 
-    A few keys come first: what they connect needs no link again, so a dense group costs the
-    other keys no more than a sparse one.
+    A few sampled keys come first: what they connect needs no link again, so a dense group costs
+    the prefixes no more than a sparse one. The prefixes lose no pair.
     """
-    keys = sampled_keys()
-    first = connected_components(candidate_links(nodes.withColumn("root", F.col("node")), keys[:COPY_FIRST]))
-    rooted = materialise(nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "f0", "f1"), "rooted")
-    second = connected_components(candidate_links(rooted, keys[COPY_FIRST:])).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    first = connected_components(candidate_links(nodes.withColumn("root", F.col("node")), sampled(sampled_keys())))
+    rooted = materialise(nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "f0", "f1", "firsts"), "rooted")
+    shared = F.transform("firsts", lambda v: F.struct(F.lit(0).cast("byte").alias("k"), v.alias("v")))
+    second = connected_components(candidate_links(rooted, shared)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     labels = rooted.join(second, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return labels.join(labels.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "root", "left_semi")
 
@@ -320,16 +333,17 @@ def candidate_clusters(nodes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: a row per row of ``docs``; components of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    SimHash finds the candidates: texts with equal sets are one node; nodes that share a
-    block of sampled fingerprint bits and differ in COPY_DISTANCE bits or fewer are linked to
-    clusters. Within a cluster all pairs are compared exactly, in tiles of bounded size. A pair
-    at just 0.8 is missed with probability 0.01, a closer one more rarely.
+    Texts with equal sets are one node. Two sets at that similarity share a shingle of their
+    prefixes; nodes that do and whose SimHash differs in COPY_DISTANCE bits or fewer are linked
+    to clusters. Within a cluster all pairs are compared exactly, in tiles of bounded size. A
+    pair at just 0.8 is missed only by the SimHash cut, with the probabilities at COPY_DISTANCE.
 
     Null and empty texts are one node. Rows that repeat a doc_id with several texts join
     their components by the smallest id as others do. A null doc_id gives a row too.
     """
-    sig = materialise(signatures(docs, width), "signatures")
-    nodes = materialise(sig.groupBy("node", "f0", "f1").agg(F.min("doc_id").alias("least")).groupBy("node").agg(F.min_by(F.struct("f0", "f1", "least"), "least").alias("x"), F.min("least").alias("least")).select("node", F.coalesce("x.f0", F.lit(0)).alias("f0"), F.coalesce("x.f1", F.lit(0)).alias("f1"), "least"), "nodes")
+    sig = materialise(signatures(docs, width, similarity), "signatures")
+    # rows of a node have equal sets, and so equal fingerprints and prefixes; partial minima keep one prefix a node and task
+    nodes = materialise(sig.groupBy("node").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), F.min("firsts").alias("firsts"), F.min("doc_id").alias("least")), "nodes")
     clusters = candidate_clusters(nodes)
     members = clusters.join(nodes, "node").where("least is not null").select("root", "node", "least")
     full = pick(docs, "doc_id", "text").join(members, F.col("doc_id") == F.col("least"))

@@ -111,3 +111,16 @@ def test_bit_counts_over_chunks():
     h = np.random.default_rng(1).integers(0, 1 << 63, size=(simhash.CHUNK + 5, 1), dtype=np.uint64)
     want = [int(((h[:, 0] >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
     assert simhash.bit_counts(h).tolist() == want
+
+
+def test_no_pair_at_the_similarity_is_lost(docs_of):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(400):
+        words = [str(rng.random()) for _ in range(120)]
+        own = list(words)
+        for i in (10, 60):  # ten of 116 shingles change: similarity 0.83
+            own[i] = str(rng.random())
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(own))]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs_of(rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
