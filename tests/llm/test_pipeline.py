@@ -96,3 +96,12 @@ def test_stages_take_odd_tables(spark, docs_of):
             assert got.columns == odd.columns
             assert len(got.collect()) <= 6
         assert stage(spark, docs_of([]), SF).collect() == []
+
+
+def test_language_stage_rejects_what_no_language_knows(spark, docs_of, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in sf("documents").collect()]
+    odd = [(9000, "qxzvkj wqxj zzkqv", None), (9001, "x", None), (9002, "Привет мир как дела", None), (9003, "12 34", None)]
+    got = ids(corpus_pipeline.drop_unidentified(spark, docs_of(rows + odd), SF))
+    assert got == {r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
+    unlabelled = [(i, t, None) for i, t, _ in rows + odd]
+    assert ids(corpus_pipeline.drop_unidentified(spark, docs_of(unlabelled), SF)) == {r[0] for r in unlabelled}
