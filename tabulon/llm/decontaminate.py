@@ -4,6 +4,8 @@ Numbers, units and names become typed placeholders, so that a question with othe
 people has the same template. Windows of the template are joined by their text; the windows
 of a document that follow an item along one diagonal form a run, and the values behind the
 placeholders must correspond one to one along it (the same value always has the same partner).
+Every window of an item is also joined by its raw tokens, so that a verbatim copy is found
+whatever the item is made of. Scripts without spaces have a token per character.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import by_position, pick, slices, texts
 
 #: Tokens of a window, literal ones it needs, tokens of a run that make a document contaminated.
 WINDOW, LITERALS, RUN = 8, 5, 10
+#: Tokens of a run in an item of a script without spaces, where a token is a character.
+RUN_UNSPACED = 20
 #: Bits of the filter of benchmark windows: its size is fixed, whatever the benchmark.
 FILTER_LOG2 = 23
 
@@ -32,6 +36,10 @@ UNITS = frozenset(
 )
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[.!?\n]+")
+#: Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_CHARACTER = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"(?=[^\\W\\d_])[{_CHARACTER}]")
+_TOKEN_UNSPACED = re.compile(rf"{_UNSPACED.pattern}|[^\W\d_{_CHARACTER}]+(?:['’][^\W\d_{_CHARACTER}]+)*|\d+(?:[.,:]\d+)*|[.!?。！？\n]+")
 LITERAL, CAPITAL, NUMBER, UNIT, END = range(5)
 PLACEHOLDER = {NUMBER: "<num>", UNIT: "<unit>", CAPITAL: "<name>"}
 _CODE = {k: np.uint64(xxhash.xxh64_intdigest(v, 1) & ~7) for k, v in PLACEHOLDER.items()}
@@ -61,39 +69,60 @@ class Template:
     """A text's canonical tokens: hash and class of each, and its place among the raw tokens."""
 
     def __init__(self, text: str):
-        self.raw = _TOKEN.findall(text)
+        self.unspaced = not text.isascii() and bool(_UNSPACED.search(text))
+        self.raw = (_TOKEN_UNSPACED if self.unspaced else _TOKEN).findall(text)
         code = np.fromiter(map(_codes.__getitem__, self.raw), dtype=np.uint64, count=len(self.raw))
         kind = (code & np.uint64(7)).astype(np.int8)
         before = np.concatenate([[END], kind[:-1]])
         kind[(kind == CAPITAL) & (before == END)] = LITERAL  # a sentence's first word
         kind[(kind == UNIT) & (before != NUMBER)] = LITERAL
         code &= ~np.uint64(7)
+        own = code.copy()
         for k, c in _CODE.items():
             code[kind == k] = c
         self.place = np.flatnonzero(kind != END)
-        self.code, self.kind = code[self.place], kind[self.place]
+        self.code, self.kind, self.own = code[self.place], kind[self.place], own[self.place]
 
     def __len__(self) -> int:
         return len(self.code)
 
+    def _hashes(self, code: np.ndarray, n: int, first: int) -> np.ndarray:
+        count = max(len(code) - n + 1, 0)
+        h = np.full(count, first, dtype=np.uint64)
+        for j in range(n):
+            h = h * np.uint64(_MULTIPLIER) + (code[j : j + count] >> np.uint64(3))
+        return h
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of windows of ``n`` tokens that hold enough literals (LITERALS, or all but one of fewer)."""
-        count = len(self.code) - n + 1
-        if count < 1:
+        """Starts and hashes of windows of ``n`` tokens that hold enough literals (LITERALS, or all but one of LITERALS tokens); none for fewer tokens."""
+        h = self._hashes(self.code, n, 0)
+        if n < LITERALS or not len(h):
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        h = np.zeros(count, dtype=np.uint64)
-        for j in range(n):
-            h = h * np.uint64(_MULTIPLIER) + (self.code[j : j + count] >> np.uint64(3))
         literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        ok = literal[n:] - literal[:count] >= min(LITERALS, n)
+        ok = literal[n:] - literal[: len(h)] >= min(LITERALS, n - 1)
         return np.flatnonzero(ok), h[ok]
 
+    def raw_windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all windows of ``n`` tokens whose placeholders keep their values."""
+        h = self._hashes(self.own, n, 1)
+        return np.arange(len(h)), h
+
     def text(self, start: int, n: int) -> str:
         return " ".join(PLACEHOLDER.get(int(self.kind[i])) or self.raw[self.place[i]].lower() for i in range(start, start + n))
 
+    def raw_text(self, start: int, n: int) -> str:
+        """The window's tokens after an equals sign, which no template has."""
+        return "=" + " ".join(self.raw[i].lower() for i in self.place[start : start + n])
+
     def slots(self, start: int, n: int) -> list[str]:
         return [self.raw[self.place[i]].lower() for i in range(start, start + n) if self.kind[i] != LITERAL]
 
+    def need(self, run: int) -> int:
+        """Tokens of a run that tell this item: ``run``, or the whole of a shorter item; more where most tokens are characters."""
+        if self.unspaced and 2 * sum(bool(_UNSPACED.match(self.raw[i])) for i in self.place) > len(self):
+            run = run * RUN_UNSPACED // RUN
+        return min(run, len(self))
+
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
     shift = np.uint64(64 - FILTER_LOG2)
@@ -103,8 +132,11 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
 WINDOW_ROWS = "pos long, n int, template string, slots array<string>"
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, item_tokens, pos, n, template, slots, hash``; an item shorter than a window is one window."""
+def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = RUN) -> DataFrame:
+    """``item_id, item_tokens, need, pos, n, template, slots, hash``; an item shorter than a window is one window.
+
+    A row per template window and one per raw window, which has no slots.
+    """
     src = pick(benchmark, "item_id", "text").where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +145,18 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for item, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 t = Template(text)
                 n = min(window, len(t))
-                if n < LITERALS:
+                if not n:
                     continue
+                need = t.need(least)
                 for start, h in zip(*t.windows(n), strict=True):
-                    rows.append((item, len(t), int(start), n, t.text(start, n), t.slots(start, n), int(h.astype(np.int64))))
+                    rows.append((item, len(t), need, int(start), n, t.text(start, n), t.slots(start, n), int(h.astype(np.int64))))
+                for start, h in zip(*t.raw_windows(n), strict=True):
+                    rows.append((item, len(t), need, int(start), n, t.raw_text(start, n), [], int(h.astype(np.int64))))
             if rows:
-                kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "item_tokens", "pos", "n", "template", "slots", "hash"])
+                kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "item_tokens", "need", "pos", "n", "template", "slots", "hash"])
 
-    return src.mapInArrow(run, f"item_id {src.schema['item_id'].dataType.simpleString()}, item_tokens long, {WINDOW_ROWS}, hash long")
+    return src.mapInArrow(run, f"item_id {src.schema['item_id'].dataType.simpleString()}, item_tokens long, need long, {WINDOW_ROWS}, hash long")
 
 
 def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
@@ -151,11 +186,13 @@ def document_windows(docs: DataFrame, words: np.ndarray, sizes: list[int]) -> Da
             for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
                 t = Template(text)
                 for n in sizes:
-                    start, h = t.windows(n)
-                    ok = np.ones(len(h), dtype=bool)
-                    for c in _cells(h):
+                    plain, h = t.windows(n)
+                    start, g = t.raw_windows(n)
+                    ok = np.ones(len(h) + len(g), dtype=bool)
+                    for c in _cells(np.concatenate([h, g])):
                         ok &= ((bits[c >> np.uint64(5)] >> (c & np.uint64(31)).astype(np.uint32)) & np.uint32(1)) == 1
-                    rows += [(doc, own, s, n, t.text(s, n), t.slots(s, n)) for s in start[ok].tolist()]
+                    rows += [(doc, own, s, n, t.text(s, n), t.slots(s, n)) for s in plain[ok[: len(h)]].tolist()]
+                    rows += [(doc, own, s, n, t.raw_text(s, n), []) for s in start[ok[len(h) :]].tolist()]
             if rows:
                 kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "pos", "n", "template", "slots"])
@@ -186,8 +223,13 @@ def longest_run(hits: list[tuple[int, int, list[str], list[str]]]) -> tuple[int,
     return best
 
 
-def _runs(hits: pa.Array) -> pa.Array:
-    out = [longest_run([(h["pos"], h["n"], h["ours"], h["theirs"]) for h in group]) for group in hits.to_pylist()]
+def _runs(hits: pa.Array, need: pa.Array) -> pa.Array:
+    """Each diagonal's longest run of template windows, or of these and raw windows where it is too short."""
+    out = []
+    for group, least in zip(hits.to_pylist(), need.to_pylist(), strict=True):
+        of = lambda kept: longest_run([(h["pos"], h["n"], h["ours"], h["theirs"]) for h in kept])
+        best = of([h for h in group if not h["raw"]])
+        out.append(best if best[0] >= least else of(group))
     cols = zip(*out, strict=True) if out else ([], [], [])
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["tokens", "start", "exact"])
 
@@ -196,25 +238,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     """Pairs of a contaminated document and a benchmark item it holds, over whole texts.
 
     ``doc_id, item_id, matched_tokens, item_tokens, start_token, exact``: the longest run of
-    template tokens that both share with consistent slots, of ``run`` tokens or the whole item
-    at least; exact tells whether the placeholders' values are the same too.
+    tokens that both share, as template with consistent slots or as they stand, of ``run`` tokens
+    (twice as many in scripts without spaces) or the whole item at least; exact tells whether the placeholders' values are the same too.
 
-    A clean document has no row. Null texts hold nothing; items of fewer than LITERALS tokens
-    can't be told and give no row. Rows that repeat a document or an item give one row. Null
+    A clean document has no row. Null texts hold nothing. Items of fewer than LITERALS tokens
+    are found as they stand, in other letter case or punctuation too; an item without a token gives no row. Rows that repeat a document or an item give one row. Null
     ids stay null. Other columns play no part; with an empty table the result is empty. A
     window that many items share meets each of them; the rows of one diagonal are no more
     than the item's windows.
     """
     judge = F.arrow_udf(_runs, "struct<tokens:long,start:long,exact:boolean>")
-    items = item_windows(benchmark, window)
+    items = item_windows(benchmark, window, run)
     words, sizes = window_filter(items)
     found = document_windows(docs, words, sizes).alias("d").join(items.alias("i"), ["template", "n"])
     diagonal = found.select(
-        "d.doc_id", "d.text_hash", "i.item_id", "i.item_tokens", (F.col("d.pos") - F.col("i.pos")).alias("diagonal"),
-        F.struct(F.col("d.pos").alias("pos"), "n", F.col("d.slots").alias("ours"), F.col("i.slots").alias("theirs")).alias("hit"),
+        "d.doc_id", "d.text_hash", "i.item_id", "i.item_tokens", "i.need", (F.col("d.pos") - F.col("i.pos")).alias("diagonal"),
+        F.struct(F.col("d.pos").alias("pos"), "n", F.col("d.slots").alias("ours"), F.col("i.slots").alias("theirs"), F.startswith("template", F.lit("=")).alias("raw")).alias("hit"),
     )
-    runs = diagonal.groupBy("doc_id", "text_hash", "item_id", "item_tokens", "diagonal").agg(F.collect_set("hit").alias("hits")).select("doc_id", "item_id", "item_tokens", judge("hits").alias("r"))
-    enough = runs.where(F.col("r.tokens") >= F.least(F.lit(run), F.col("item_tokens")))
+    runs = diagonal.groupBy("doc_id", "text_hash", "item_id", "item_tokens", "need", "diagonal").agg(F.collect_set("hit").alias("hits")).select("doc_id", "item_id", "item_tokens", "need", judge("hits", "need").alias("r"))
+    enough = runs.where(F.col("r.tokens") >= F.col("need"))
     best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("r.tokens", "r.exact", (-F.col("r.start")).alias("back"), "item_tokens")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.tokens").alias("matched_tokens"), "b.item_tokens", (-F.col("b.back")).alias("start_token"), "b.exact")
 

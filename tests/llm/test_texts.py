@@ -163,6 +163,16 @@ def test_decontamination_cases(spark, docs_of):
     assert decontaminate.contamination(docs_of(rows), bench.limit(0)).collect() == []
 
 
+def test_every_item_has_a_window(spark, docs_of):
+    items = [
+        "Evaluate 12 * 7 + 5 - 3 * 2 + 44 / 11.", "What Is The Capital Of France And Of Germany In Western Europe?", "Which planet is largest: Jupiter, Saturn, Uranus, Neptune, Mars, Venus, Mercury, Pluto?",
+        "Der Hund des Nachbarn jagt die Katze der Tante durch den Garten von Onkel Paul", "中国的首都是哪一座城市并且它有多少人口", "Who wrote Hamlet?", "name the 3 largest seas",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"Some words come first, then {t} And more words follow") for i, t in enumerate(items)] + [(20, "我们今天去公园散步然后回家"), (21, "Evaluate 12 * 8 + 5"), (22, "Who wrote it?"), (23, "Now name the 5 largest seas")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(docs_of(rows), bench).collect()} == {(i, i) for i in range(len(items))} | {(23, 6)}
+
+
 def test_inconsistent_slots_break_a_run():
     hits = [(0, 3, ["a"], ["x"]), (1, 3, ["a"], ["x"]), (2, 3, ["b"], ["x"]), (3, 3, ["b"], ["x"])]
     assert decontaminate.longest_run(hits)[0] == 4
