@@ -11,7 +11,9 @@ whatever the item is made of. Scripts without spaces have a token per character.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,63 +67,110 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-class Template:
-    """A text's canonical tokens: hash and class of each, and its place among the raw tokens."""
+class Tokens:
+    """The canonical tokens of some texts, one after the other: hash and class of each, and the text it belongs to.
 
-    def __init__(self, text: str):
-        self.unspaced = not text.isascii() and bool(_UNSPACED.search(text))
-        self.raw = (_TOKEN_UNSPACED if self.unspaced else _TOKEN).findall(text)
-        code = np.fromiter(map(_codes.__getitem__, self.raw), dtype=np.uint64, count=len(self.raw))
+    There are two readings. In the first a sentence's first word is no name; in the second it
+    is one unless it is among ``words``, the codes (sorted) of words that the benchmark has in
+    lower case. Without such a list both are the first.
+    """
+
+    def __init__(self, items: list[str], words: np.ndarray | None = None):
+        self.unspaced = [not t.isascii() and bool(_UNSPACED.search(t)) for t in items]
+        parts = [(_TOKEN_UNSPACED if u else _TOKEN).findall(t) for t, u in zip(items, self.unspaced, strict=True)]
+        for part in parts:
+            part.append("\n")  # a text's end ends a sentence
+        raw = list(chain.from_iterable(parts))
+        code = np.fromiter(map(_codes.__getitem__, raw), dtype=np.uint64, count=len(raw))
         kind = (code & np.uint64(7)).astype(np.int8)
         before = np.concatenate([[END], kind[:-1]])
-        kind[(kind == CAPITAL) & (before == END)] = LITERAL  # a sentence's first word
+        first = np.flatnonzero((kind == CAPITAL) & (before == END))
+        kind[first] = LITERAL
         kind[(kind == UNIT) & (before != NUMBER)] = LITERAL
-        code &= ~np.uint64(7)
-        own = code.copy()
-        for k, c in _CODE.items():
-            code[kind == k] = c
-        self.place = np.flatnonzero(kind != END)
-        self.code, self.kind, self.own = code[self.place], kind[self.place], own[self.place]
+        own = code & ~np.uint64(7)
+        named = kind.copy()
+        if words is not None:
+            known = words[np.minimum(np.searchsorted(words, own[first]), len(words) - 1)] == own[first] if len(words) else np.zeros(len(first), dtype=bool)
+            named[first[~known]] = CAPITAL
+        place = np.flatnonzero(kind != END)
+        self.raw, self.place = raw, place
+        self.kinds, self.own = [kind[place], named[place]], own[place]
+        self.codes = []
+        for k in self.kinds:
+            code = self.own.copy()
+            for placeholder, c in _CODE.items():
+                code[k == placeholder] = c
+            self.codes.append(code)
+        self.item = np.repeat(np.arange(len(items)), list(map(len, parts)))[place] if items else place
+        self.first = np.searchsorted(self.item, np.arange(len(items) + 1))
 
     def __len__(self) -> int:
-        return len(self.code)
+        return len(self.own)
 
-    def _hashes(self, code: np.ndarray, n: int, first: int) -> np.ndarray:
+    def _hashes(self, code: np.ndarray, n: int, seed: int) -> np.ndarray:
         count = max(len(code) - n + 1, 0)
-        h = np.full(count, first, dtype=np.uint64)
+        h = np.full(count, seed, dtype=np.uint64)
         for j in range(n):
-            h = h * np.uint64(_MULTIPLIER) + (code[j : j + count] >> np.uint64(3))
+            h *= np.uint64(_MULTIPLIER)
+            h += code[j : j + count] >> np.uint64(3)
         return h
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of windows of ``n`` tokens that hold enough literals (LITERALS, or all but one of LITERALS tokens); none for fewer tokens."""
-        h = self._hashes(self.code, n, 0)
-        if n < LITERALS or not len(h):
+    def windows(self, n: int, reading: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of windows of ``n`` tokens of one text that hold enough literals (LITERALS, or all but one of LITERALS tokens); none for fewer tokens.
+
+        Of the second reading only those that differ from the first.
+        """
+        count = len(self) - n + 1
+        if n < LITERALS or count < 1:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        ok = literal[n:] - literal[: len(h)] >= min(LITERALS, n - 1)
-        return np.flatnonzero(ok), h[ok]
+        within = lambda flags: (lambda c: c[n:] - c[:count])(np.concatenate([[0], np.cumsum(flags)]))
+        ok = within(self.kinds[reading] == LITERAL) >= min(LITERALS, n - 1)
+        ok &= self.item[:count] == self.item[n - 1 :]
+        if reading:
+            ok &= within(self.kinds[0] != self.kinds[1]) > 0
+            at = np.flatnonzero(ok)
+            h = np.zeros(len(at), dtype=np.uint64)
+            for j in range(n):
+                h = h * np.uint64(_MULTIPLIER) + (self.codes[1][at + j] >> np.uint64(3))
+            return at, h
+        return np.flatnonzero(ok), self._hashes(self.codes[0], n, 0)[ok]
 
     def raw_windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of all windows of ``n`` tokens whose placeholders keep their values."""
+        """Starts and hashes of all windows of ``n`` tokens of one text, with placeholders' values as they are."""
         h = self._hashes(self.own, n, 1)
-        return np.arange(len(h)), h
+        ok = self.item[: len(h)] == self.item[n - 1 :] if len(h) else np.zeros(0, dtype=bool)
+        return np.flatnonzero(ok), h[ok]
 
-    def text(self, start: int, n: int) -> str:
-        return " ".join(PLACEHOLDER.get(int(self.kind[i])) or self.raw[self.place[i]].lower() for i in range(start, start + n))
+    def text(self, start: int, n: int, reading: int = 0) -> str:
+        kind = self.kinds[reading]
+        return " ".join(PLACEHOLDER.get(int(kind[i])) or self.raw[self.place[i]].lower() for i in range(start, start + n))
 
     def raw_text(self, start: int, n: int) -> str:
         """The window's tokens after an equals sign, which no template has."""
         return "=" + " ".join(self.raw[i].lower() for i in self.place[start : start + n])
 
-    def slots(self, start: int, n: int) -> list[str]:
-        return [self.raw[self.place[i]].lower() for i in range(start, start + n) if self.kind[i] != LITERAL]
-
-    def need(self, run: int) -> int:
-        """Tokens of a run that tell this item: ``run``, or the whole of a shorter item; more where most tokens are characters."""
-        if self.unspaced and 2 * sum(bool(_UNSPACED.match(self.raw[i])) for i in self.place) > len(self):
+    def slots(self, start: int, n: int, reading: int = 0) -> list[str]:
+        kind = self.kinds[reading]
+        return [self.raw[self.place[i]].lower() for i in range(start, start + n) if kind[i] != LITERAL]
+
+    def all_windows(self, n: int, kept=lambda hashes: slice(None)) -> Iterator[tuple[int, str, list[str], int]]:
+        """Start, text, slots and hash (signed) of all windows of ``n`` tokens, template and raw, whose hashes ``kept`` keeps."""
+        for reading in (0, 1):
+            starts, hashes = self.windows(n, reading)
+            at = kept(hashes)
+            for s, h in zip(starts[at].tolist(), hashes[at].view(np.int64).tolist(), strict=True):
+                yield s, self.text(s, n, reading), self.slots(s, n, reading), h
+        starts, hashes = self.raw_windows(n)
+        at = kept(hashes)
+        for s, h in zip(starts[at].tolist(), hashes[at].view(np.int64).tolist(), strict=True):
+            yield s, self.raw_text(s, n), self.slots(s, n), h
+
+    def need(self, item: int, run: int) -> int:
+        """Tokens of a run that tell a text: ``run``, or the whole of a shorter one; more where most tokens are characters."""
+        own = self.place[self.first[item] : self.first[item + 1]]
+        if self.unspaced[item] and 2 * sum(bool(_UNSPACED.match(self.raw[i])) for i in own) > len(own):
             run = run * RUN_UNSPACED // RUN
-        return min(run, len(self))
+        return min(run, len(own))
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
@@ -129,29 +178,39 @@ def _cells(h: np.ndarray) -> list[np.ndarray]:
     return [(h * np.uint64(m)) >> shift for m in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def lower_case_words(benchmark: DataFrame) -> np.ndarray:
+    """Codes, sorted, of the words that the benchmark has in lower case; a long for each word of its vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            code = np.unique(np.fromiter((_codes[w] for t in texts(b.column(0)) for w in _TOKEN.findall(t) if w.islower()), dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((code & ~np.uint64(7)).view(np.int64))], ["w"])
+
+    found = pick(benchmark, "text").mapInArrow(run, "w long").distinct().toArrow().column("w").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
 WINDOW_ROWS = "pos long, n int, template string, slots array<string>"
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW, least: int = RUN) -> DataFrame:
+def item_windows(benchmark: DataFrame, words: np.ndarray, window: int = WINDOW, least: int = RUN) -> DataFrame:
     """``item_id, item_tokens, need, pos, n, template, slots, hash``; an item shorter than a window is one window.
 
-    A row per template window and one per raw window, which has no slots.
+    A row per template window, in both readings, and one per raw window.
     """
     src = pick(benchmark, "item_id", "text").where("text is not null")
+    shared = benchmark.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows = []
             for item, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                t = Template(text)
+                t = Tokens([text], shared.value)
                 n = min(window, len(t))
                 if not n:
                     continue
-                need = t.need(least)
-                for start, h in zip(*t.windows(n), strict=True):
-                    rows.append((item, len(t), need, int(start), n, t.text(start, n), t.slots(start, n), int(h.astype(np.int64))))
-                for start, h in zip(*t.raw_windows(n), strict=True):
-                    rows.append((item, len(t), need, int(start), n, t.raw_text(start, n), [], int(h.astype(np.int64))))
+                need = t.need(0, least)
+                rows += [(item, len(t), need, s, n, template, slots, h) for s, template, slots, h in t.all_windows(n)]
             if rows:
                 kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["item_id", "item_tokens", "need", "pos", "n", "template", "slots", "hash"])
@@ -169,100 +228,133 @@ def window_filter(items: DataFrame) -> tuple[np.ndarray, list[int]]:
                 yield pa.RecordBatch.from_arrays([pa.array((c >> np.uint64(5)).astype(np.int64)), pa.array((np.uint64(1) << (c & np.uint64(31))).astype(np.int64))], ["w", "m"])
 
     rows = items.select("hash").mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    words = np.zeros(1 << (FILTER_LOG2 - 5), dtype=np.uint32)
-    words[rows.column("w").to_numpy()] = rows.column("m").to_numpy().astype(np.uint32)
-    return words, sorted(r.n for r in items.select("n").distinct().collect())
+    bits = np.zeros(1 << (FILTER_LOG2 - 5), dtype=np.uint32)
+    bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy().astype(np.uint32)
+    return bits, sorted(r.n for r in items.select("n").distinct().collect())
 
 
-def document_windows(docs: DataFrame, words: np.ndarray, sizes: list[int]) -> DataFrame:
+def document_windows(docs: DataFrame, words: np.ndarray, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     """``doc_id, text_hash, pos, n, template, slots``: the documents' windows that the filter lets pass."""
     src = pick(docs, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # 2**FILTER_LOG2 bits
+    shared = docs.sparkSession.sparkContext.broadcast((words, bits))  # the benchmark's vocabulary, 2**FILTER_LOG2 bits
+
+    def passed(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+        at = np.arange(len(h))
+        for c in _cells(h):  # the second cell is read where the first is set
+            c = c[at]
+            at = at[((table[c >> np.uint64(5)] >> (c & np.uint64(31)).astype(np.uint32)) & np.uint32(1)) == 1]
+        return at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for b in slices(batches, "text"):
-            rows = []
-            for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
-                t = Template(text)
-                for n in sizes:
-                    plain, h = t.windows(n)
-                    start, g = t.raw_windows(n)
-                    ok = np.ones(len(h) + len(g), dtype=bool)
-                    for c in _cells(np.concatenate([h, g])):
-                        ok &= ((bits[c >> np.uint64(5)] >> (c & np.uint64(31)).astype(np.uint32)) & np.uint32(1)) == 1
-                    rows += [(doc, own, s, n, t.text(s, n), t.slots(s, n)) for s in plain[ok[: len(h)]].tolist()]
-                    rows += [(doc, own, s, n, t.raw_text(s, n), []) for s in start[ok[len(h) :]].tolist()]
+        known, table = shared.value
+        for b in slices(batches, "text", 2_000_000):
+            t = Tokens(texts(b.column(2)), known)
+            at, rows = [], []
+            for n in sizes:
+                for s, template, slots, _ in t.all_windows(n, lambda hashes: passed(hashes, table)):
+                    at.append(int(t.item[s]))
+                    rows.append((s - int(t.first[at[-1]]), n, template, slots))
             if rows:
-                kinds = [b.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "pos", "n", "template", "slots"])
+                take = pa.array(at)
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "text_hash", "pos", "n", "template", "slots"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, {WINDOW_ROWS}")
 
 
 def longest_run(hits: list[tuple[int, int, list[str], list[str]]]) -> tuple[int, int, bool]:
-    """Of one diagonal's windows (pos, n, document's slots, item's slots): tokens of the longest run with consistent slots, its start, whether all its slots are equal."""
+    """Of one diagonal's windows (pos, n, document's slots, item's slots): tokens of the longest run with consistent slots, its start, whether all its slots are equal.
+
+    A run's windows overlap or adjoin, and pair the values on both sides one to one. It grows
+    at its end; where a window contradicts it, it loses windows at its start until it fits.
+    """
     best = (0, 0, False)
-    start = end = -1
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    same = True
-    for pos, n, ours, theirs in sorted(hits):
-        fits = all(there.get(x, y) == y and back.get(y, x) == x for x, y in zip(theirs, ours, strict=True)) and len(set(zip(theirs, ours, strict=True))) == len(set(theirs)) == len(set(ours))
-        if start < 0 or pos > end or not fits:
-            start, there, back, same = pos, {}, {}, True
-            if len(set(zip(theirs, ours, strict=True))) != len(set(theirs)) or len(set(theirs)) != len(set(ours)):
-                start = -1
-                continue
-        there.update(zip(theirs, ours, strict=True))
-        back.update(zip(ours, theirs, strict=True))
-        same &= theirs == ours
-        end = pos + n
-        if end - start > best[0]:
-            best = (end - start, start, same)
+    hits = sorted(hits)
+    pairs: Counter = Counter()  # how many windows of the run hold each pair of values
+    sides: Counter = Counter()  # with how many partners each value stands, on either side
+    torn = differing = 0  # values with several partners; pairs of unequal values
+    first = 0
+    for j, (pos, n, ours, theirs) in enumerate(hits):
+        if j and pos > hits[j - 1][0] + hits[j - 1][1]:
+            first, torn, differing = j, 0, 0
+            pairs.clear()
+            sides.clear()
+        for x, y in zip(ours, theirs, strict=True):
+            pairs[x, y] += 1
+            if pairs[x, y] == 1:
+                differing += x != y
+                for side in ((0, x), (1, y)):
+                    sides[side] += 1
+                    torn += sides[side] == 2
+        while torn:
+            for x, y in zip(*hits[first][2:], strict=True):
+                pairs[x, y] -= 1
+                if not pairs[x, y]:
+                    differing -= x != y
+                    for side in ((0, x), (1, y)):
+                        sides[side] -= 1
+                        torn -= sides[side] == 1
+            first += 1
+        if first <= j and pos + n - hits[first][0] > best[0]:
+            best = (pos + n - hits[first][0], hits[first][0], not differing)
     return best
 
 
-def _runs(hits: pa.Array, need: pa.Array) -> pa.Array:
-    """Each diagonal's longest run of template windows, or of these and raw windows where it is too short."""
+def _runs(hits: pa.Array) -> pa.Array:
+    """Each diagonal's longest run; of several windows at a place that with the fewest slots counts."""
     out = []
-    for group, least in zip(hits.to_pylist(), need.to_pylist(), strict=True):
-        of = lambda kept: longest_run([(h["pos"], h["n"], h["ours"], h["theirs"]) for h in kept])
-        best = of([h for h in group if not h["raw"]])
-        out.append(best if best[0] >= least else of(group))
+    for group in hits.to_pylist():
+        own = {h["pos"]: (h["pos"], h["n"], h["ours"], h["theirs"]) for h in sorted(group, key=lambda h: -len(h["ours"]))}
+        out.append(longest_run(list(own.values())))
     cols = zip(*out, strict=True) if out else ([], [], [])
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["tokens", "start", "exact"])
 
 
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """``doc_id, text_hash, item_id, item_tokens, r``: for each row's text and each item it holds, the longest run of each diagonal that has one."""
+    judge = F.arrow_udf(_runs, "struct<tokens:long,start:long,exact:boolean>")
+    words = lower_case_words(benchmark)
+    items = item_windows(benchmark, words, window, run)
+    bits, sizes = window_filter(items)
+    found = document_windows(docs, words, bits, sizes).alias("d").join(items.alias("i"), ["template", "n"])
+    diagonal = found.select(
+        "d.doc_id", "d.text_hash", "i.item_id", "i.item_tokens", "i.need", (F.col("d.pos") - F.col("i.pos")).alias("diagonal"),
+        # values of a raw window are equal, whatever stands before it
+        F.struct(F.col("d.pos").alias("pos"), "n", F.col("d.slots").alias("ours"), F.when(F.startswith("template", F.lit("=")), F.col("d.slots")).otherwise(F.col("i.slots")).alias("theirs")).alias("hit"),
+    )
+    keys = ("doc_id", "text_hash", "item_id", "item_tokens", "need", "diagonal")
+    runs = diagonal.groupBy(*keys).agg(F.collect_set("hit").alias("hits")).select(*keys, judge("hits").alias("r"))
+    return runs.where(F.col("r.tokens") >= F.col("need")).select("doc_id", "text_hash", "item_id", "item_tokens", "r")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """Pairs of a contaminated document and a benchmark item it holds, over whole texts.
 
     ``doc_id, item_id, matched_tokens, item_tokens, start_token, exact``: the longest run of
     tokens that both share, as template with consistent slots or as they stand, of ``run`` tokens
-    (twice as many in scripts without spaces) or the whole item at least; exact tells whether the placeholders' values are the same too.
+    (twice as many in scripts without spaces) or the whole item at least; exact tells whether
+    the placeholders' values are the same too. Of equally long runs an exact one counts, then
+    the first.
 
     A clean document has no row. Null texts hold nothing. Items of fewer than LITERALS tokens
-    are found as they stand, in other letter case or punctuation too; an item without a token gives no row. Rows that repeat a document or an item give one row. Null
-    ids stay null. Other columns play no part; with an empty table the result is empty. A
-    window that many items share meets each of them; the rows of one diagonal are no more
-    than the item's windows.
+    are found as they stand, in other letter case or punctuation too; an item without a token
+    gives no row. Rows that repeat a document or an item give one row. Null ids stay null.
+    Other columns play no part; with an empty table the result is empty. A window that many
+    items share meets each of them; the rows of one diagonal are no more than thrice the item's
+    windows.
     """
-    judge = F.arrow_udf(_runs, "struct<tokens:long,start:long,exact:boolean>")
-    items = item_windows(benchmark, window, run)
-    words, sizes = window_filter(items)
-    found = document_windows(docs, words, sizes).alias("d").join(items.alias("i"), ["template", "n"])
-    diagonal = found.select(
-        "d.doc_id", "d.text_hash", "i.item_id", "i.item_tokens", "i.need", (F.col("d.pos") - F.col("i.pos")).alias("diagonal"),
-        F.struct(F.col("d.pos").alias("pos"), "n", F.col("d.slots").alias("ours"), F.col("i.slots").alias("theirs"), F.startswith("template", F.lit("=")).alias("raw")).alias("hit"),
-    )
-    runs = diagonal.groupBy("doc_id", "text_hash", "item_id", "item_tokens", "need", "diagonal").agg(F.collect_set("hit").alias("hits")).select("doc_id", "item_id", "item_tokens", "need", judge("hits", "need").alias("r"))
-    enough = runs.where(F.col("r.tokens") >= F.col("need"))
+    enough = contaminated_rows(docs, benchmark, window, run)
     best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("r.tokens", "r.exact", (-F.col("r.start")).alias("back"), "item_tokens")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.tokens").alias("matched_tokens"), "b.item_tokens", (-F.col("b.back")).alias("start_token"), "b.exact")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows without doc_id stay."""
-    bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    Each row is judged by its own text, rows without a doc_id or that share one too. Null
+    texts stay. All columns stay, whatever their names.
+    """
+    bad = contaminated_rows(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     plain, at, names = by_position(docs)
-    return plain.join(bad, F.col(at["doc_id"]) == F.col("_bad"), "left_anti").toDF(*names)
+    own = F.col(at["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(at["text"]) == F.col("_h"))
+    return plain.join(bad, own, "left_anti").toDF(*names)

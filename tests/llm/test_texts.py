@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -155,7 +156,7 @@ def test_decontamination_cases(spark, docs_of):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(docs_of(rows), bench).collect()}
     assert got.keys() == {(1, 1), (2, 1), (3, 1), (None, 1), (7, 2)}
     assert got[1, 1].exact and not got[2, 1].exact
-    assert got[2, 1].matched_tokens == got[1, 1].matched_tokens > got[3, 1].matched_tokens
+    assert got[1, 1].matched_tokens == 26 and got[2, 1].matched_tokens == 22 > got[3, 1].matched_tokens
     left = decontaminate.decontaminate(docs_of(rows), bench)
     assert left.columns == docs_of([]).columns
     assert sorted(r[0] for r in left.collect() if r[0]) == [4, 5, 6, 8]
@@ -179,6 +180,123 @@ def test_inconsistent_slots_break_a_run():
     assert decontaminate.longest_run([(0, 3, ["a", "b"], ["x", "x"])])[0] == 0
 
 
+def one_to_one(pairs):
+    return len(set(pairs)) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+
+
+def test_longest_run_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(400):
+        at = sorted(rng.sample(range(14), rng.randrange(1, 9)))
+        hits = [(p, 3, [rng.choice("ab") for _ in range(k)], [rng.choice("xy") for _ in range(k)]) for p in at for k in [rng.randrange(3)]]
+        best = (0, 0, False)
+        for i in range(len(hits)):
+            for j in range(i, len(hits)):
+                part = hits[i : j + 1]
+                pairs = [p for h in part for p in zip(h[2], h[3], strict=True)]
+                whole = all(b[0] <= a[0] + 3 for a, b in zip(part, part[1:], strict=False))
+                if whole and one_to_one(pairs) and part[-1][0] + 3 - part[0][0] > best[0]:
+                    best = (part[-1][0] + 3 - part[0][0], part[0][0], all(x == y for x, y in pairs))
+        assert decontaminate.longest_run(hits)[0] == best[0]
+    # five windows whose first and last contradict each other, and ten tokens from the second on
+    hits = [(0, 8, ["1"], ["x"]), (1, 8, ["2"], ["y"]), (2, 8, ["2"], ["y"]), (3, 8, ["3"], ["x"])]
+    assert decontaminate.longest_run(hits) == (10, 0, False)
+    assert decontaminate.longest_run([hits[0], (1, 8, [], []), (2, 8, ["2"], ["x"]), (3, 8, [], []), (4, 8, [], [])]) == (11, 1, False)
+
+
+def brute_contamination(docs, bench, window=8, run=10, literals=5):
+    """Over lower-case words, numbers, capitalised names and full stops, with units and names as the operator has them."""
+    lower = {w for t in bench.values() for w in re.findall("[A-Za-z]+", t) if w.islower()}
+
+    def tokens(text):
+        out, start, number = [], True, False
+        for w in re.findall(r"[A-Za-z]+|\d+|\.", text):
+            if w == ".":
+                start, number = True, False
+                continue
+            low = w.lower()
+            unit = low in decontaminate.UNITS
+            name = not unit and w[0].isupper()
+            kind = "<num>" if w.isdigit() else "<unit>" if unit and number else "<name>" if name and not start else low
+            out.append((kind, "<name>" if name and low not in lower else kind, low))
+            start, number = False, w.isdigit()
+        return out
+
+    found = {}
+    for d, text in docs:
+        ours = tokens(text)
+        for b, item in bench.items():
+            theirs = tokens(item)
+            n, need = min(window, len(theirs)), min(run, len(theirs))
+            best = (0, False, 0)
+            for diagonal in range(-len(theirs), len(ours)):
+                ok, reading = [], {}
+                for i in range(len(theirs) - n + 1):
+                    if diagonal + i < 0 or diagonal + i + n > len(ours):
+                        continue
+                    x, y = ours[diagonal + i : diagonal + i + n], theirs[i : i + n]
+                    enough = [n >= literals and sum(t[r] == t[2] for t in y) >= min(literals, n - 1) and [t[r] for t in x] == [t[r] for t in y] for r in (0, 1)]
+                    if [t[2] for t in x] == [t[2] for t in y] or any(enough):
+                        ok.append(diagonal + i)
+                        reading[ok[-1]] = int(enough == [False, True] and [t[2] for t in x] != [t[2] for t in y])
+                for i, start in enumerate(ok):
+                    for j in range(i, len(ok)):
+                        end = ok[j] + n
+                        if j > i and ok[j] > ok[j - 1] + n:
+                            break
+                        pairs = {(ours[p][2], theirs[p - diagonal][2]) for q in ok[i : j + 1] for p in range(q, q + n) if ours[p][reading[q]].startswith("<")}
+                        if one_to_one(list(pairs)):
+                            best = max(best, (end - start, all(x == y for x, y in pairs), -start))
+            if best[0] >= need:
+                found[d, b] = (best[0], len(theirs), -best[2], best[1])
+    return found
+
+
+def test_contamination_equals_brute_force(spark, docs_of):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ba", "ko", "ri", "lu", "te") for b in ("mo", "sa", "ni", "pex")]
+    names = ["Anna", "Boris", "Clara", "Dmitri"]
+
+    def token():
+        x = rng.random()
+        return rng.choice(names) if x < 0.12 else str(rng.randrange(1, 5)) if x < 0.24 else "km" if x < 0.27 else rng.choice(words)
+
+    def other(text):
+        swap = dict(zip(names, rng.sample(names, 4), strict=True)) | {str(i): str(rng.randrange(1, 5)) for i in range(1, 5)}
+        return " ".join(swap.get(w.rstrip("."), w) if not w.endswith(".") else w for w in text.split())
+
+    def sentence(k):
+        text = " ".join(token() for _ in range(k))
+        return text[0].upper() + text[1:] + "."
+
+    bench = {i: " ".join(sentence(rng.choice([4, 9, 15])) for _ in range(rng.choice([1, 1, 2, 3]))) for i in range(25)}
+    bench |= {25: "Anna has 3 apples and gives 4 to the girl", 26: "name the 3 largest seas", 27: "Compute 12 34 5 7 9"}
+    docs = []
+    for i in range(150):
+        item = rng.choice(list(bench.values()))
+        w = item.split()
+        a, b = sorted(rng.sample(range(len(w) + 1), 2))
+        part = " ".join(w if i % 3 else w[a:b])
+        docs.append((i, f"{sentence(6)} {other(part) if i % 2 else part} {sentence(5)}"))
+    docs += [(200, "Boris has 2 apples and gives 9 to the girl"), (201, "so compute 12 34 5 7 9 now"), (202, "Name the 8 largest seas")]
+    got = decontaminate.contamination(docs_of(docs), spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.matched_tokens, r.item_tokens, r.start_token, r.exact) for r in got} == brute_contamination(docs, bench)
+    assert len(got) > 60 and {(200, 25), (201, 27), (202, 26)} <= {(r.doc_id, r.item_id) for r in got}
+
+
+def test_rows_are_judged_by_their_own_text(spark, docs_of):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(1, "x. " + ITEM), (1, "clean words alone"), (None, "y. " + ITEM), (None, "clean too"), (2, None)]
+    left = [(r[0], r[1]) for r in decontaminate.decontaminate(docs_of(rows), bench).collect()]
+    assert sorted(left, key=str) == sorted([(1, "clean words alone"), (None, "clean too"), (2, None)], key=str)
+
+
+def test_very_long_text(spark, docs_of):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    long = "lorem ipsum dolor " * 200_000
+    assert [r.start_token for r in decontaminate.contamination(docs_of([(1, long + ITEM + " " + long)]), bench).collect()] == [600_000]
+
+
 def test_whole_items_are_found(sf):
     docs, bench = sf("documents").collect(), sf("benchmark").collect()
     plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
