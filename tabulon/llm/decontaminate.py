@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,38 +37,66 @@ UNITS = frozenset(
     "year years usd eur gbp dollar dollars euro euros cent cents percent pct mph kmh hz khz mhz ghz b kb mb gb tb w kw mw v kv a ma j kj cal kcal c f k pa kpa bar".split()
 )
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[.!?\n]+")
 #: Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
 _CHARACTER = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_UNSPACED = re.compile(f"(?=[^\\W\\d_])[{_CHARACTER}]")
-_TOKEN_UNSPACED = re.compile(rf"{_UNSPACED.pattern}|[^\W\d_{_CHARACTER}]+(?:['’][^\W\d_{_CHARACTER}]+)*|\d+(?:[.,:]\d+)*|[.!?。！？\n]+")
+#: What a token is: a character of those scripts, a word, a number, or a sentence's end.
+TOKEN = re.compile(rf"(?=[^\W\d_])[{_CHARACTER}]|[^\W\d_{_CHARACTER}]+(?:['’][^\W\d_{_CHARACTER}]+)*|\d+(?:[.,:]\d+)*|[.!?。！？\n]+")
 LITERAL, CAPITAL, NUMBER, UNIT, END = range(5)
 PLACEHOLDER = {NUMBER: "<num>", UNIT: "<unit>", CAPITAL: "<name>"}
 _CODE = {k: np.uint64(xxhash.xxh64_intdigest(v, 1) & ~7) for k, v in PLACEHOLDER.items()}
 _MULTIPLIER = 0x9E3779B97F4A7C15
+#: Classes of characters; powers that weigh a token's characters by place.
+OTHER, LETTER, DIGIT, STOP, SINGLE = range(5)
+_POWERS = np.cumprod(np.full(4096, _MULTIPLIER, dtype=np.uint64), dtype=np.uint64)
 
 
-class _Codes(dict):
-    """Token -> 61 bits of its lower-cased hash and its class; emptied when it outgrows 300,000 tokens."""
+def _describe(c: str) -> tuple[int, int]:
+    """A character's class, and the character in lower case."""
+    kind = SINGLE if re.match(rf"(?=[^\W\d_])[{_CHARACTER}]", c) else LETTER if re.match(r"[^\W\d_]", c) else DIGIT if re.match(r"\d", c) else STOP if c in ".!?。！？\n" else OTHER
+    low = c.lower()
+    return kind, ord(low) if len(low) == 1 else ord(c)
 
-    def __missing__(self, token: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        low = token.lower()
-        kind = LITERAL if token[0].isalpha() else NUMBER if token[0].isdigit() else END
-        if kind == LITERAL:
-            kind = UNIT if low in UNITS else CAPITAL if token[0] != low[0] and (len(token) == 1 or not token.isupper()) else LITERAL
-        code = (xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1) & ~7) | kind
-        if len(token) <= 64:
-            self[token] = code
-        return code
 
+@lru_cache(1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of every character up to U+FFFF."""
+    kind, low = zip(*map(_describe, map(chr, range(1 << 16))), strict=True)
+    return np.array(kind, dtype=np.int8), np.array(low, dtype=np.uint32)
 
-_codes = _Codes()
+
+def characters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code, class and lower case of a text's characters."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    kinds, lower = _characters()
+    near = np.minimum(code, 0xFFFF)
+    kind, low = kinds[near], lower[near]
+    far = np.flatnonzero(code > 0xFFFF)
+    if len(far):
+        own, at = np.unique(code[far], return_inverse=True)
+        described = np.array([_describe(chr(c)) for c in own.tolist()])
+        kind[far], low[far] = described[at, 0], described[at, 1]
+    return code, kind, low
+
+
+def _fold(h: np.ndarray) -> np.ndarray:
+    """Token codes from weighed sums: their lowest three bits are free."""
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) & ~np.uint64(7)
+
+
+@lru_cache(1)
+def unit_codes() -> np.ndarray:
+    return _fold(np.array([((np.array(list(map(ord, u)), dtype=np.uint64) + np.uint64(1)) * _POWERS[: len(u)]).sum(dtype=np.uint64) for u in UNITS]))
+
+
+def _between(kind: np.ndarray, joins: np.ndarray, side: int) -> np.ndarray:
+    """Places of ``joins`` whose neighbours are both of class ``side``."""
+    at = np.flatnonzero(joins)
+    at = at[(at > 0) & (at < len(kind) - 1)]
+    return at[(kind[at - 1] == side) & (kind[at + 1] == side)]
 
 
 class Tokens:
-    """The canonical tokens of some texts, one after the other: hash and class of each, and the text it belongs to.
+    """The canonical tokens (TOKEN) of some texts, one after the other: hash and class of each, and the text it belongs to.
 
     There are two readings. In the first a sentence's first word is no name; in the second it
     is one unless it is among ``words``, the codes (sorted) of words that the benchmark has in
@@ -76,34 +104,51 @@ class Tokens:
     """
 
     def __init__(self, items: list[str], words: np.ndarray | None = None):
-        self.unspaced = [not t.isascii() and bool(_UNSPACED.search(t)) for t in items]
-        parts = [(_TOKEN_UNSPACED if u else _TOKEN).findall(t) for t, u in zip(items, self.unspaced, strict=True)]
-        for part in parts:
-            part.append("\n")  # a text's end ends a sentence
-        raw = list(chain.from_iterable(parts))
-        code = np.fromiter(map(_codes.__getitem__, raw), dtype=np.uint64, count=len(raw))
-        kind = (code & np.uint64(7)).astype(np.int8)
+        self.joined = "\n".join(items) + "\n"  # a text's end ends a sentence
+        code, char, low = characters(self.joined)
+        letters = _between(char, (code == ord("'")) | (code == ord("’")), LETTER)
+        digits = _between(char, (code == ord(".")) | (code == ord(",")) | (code == ord(":")), DIGIT)
+        char[letters], char[digits] = LETTER, DIGIT
+        new = (char != np.concatenate([[OTHER], char[:-1]])) | (char == SINGLE)
+        at = np.flatnonzero(char != OTHER)
+        start = np.flatnonzero(new[at])
+        size = np.diff(np.append(start, len(at)))
+        place = np.arange(len(at)) - np.repeat(start, size)
+        upper = low != code
+        own = np.add.reduceat((low[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place % len(_POWERS)], start)
+        own = _fold(own)
+        capitals = np.add.reduceat(upper[at], start, dtype=np.int64)
+        start = at[start]
+        self.start, self.end, self.lower = start, start + size, capitals == 0
+        kind = np.array([LITERAL, LITERAL, NUMBER, END, LITERAL], dtype=np.int8)[char[start]]
+        kind[upper[start] & (kind == LITERAL) & ((capitals < size) | (size == 1))] = CAPITAL
+        capital = np.flatnonzero(kind == CAPITAL)
+        kind[capital[np.isin(own[capital], unit_codes())]] = LITERAL
         before = np.concatenate([[END], kind[:-1]])
+        after = np.flatnonzero((before == NUMBER) & (kind <= CAPITAL))
+        kind[after[np.isin(own[after], unit_codes())]] = UNIT
         first = np.flatnonzero((kind == CAPITAL) & (before == END))
         kind[first] = LITERAL
-        kind[(kind == UNIT) & (before != NUMBER)] = LITERAL
-        own = code & ~np.uint64(7)
         named = kind.copy()
         if words is not None:
             known = words[np.minimum(np.searchsorted(words, own[first]), len(words) - 1)] == own[first] if len(words) else np.zeros(len(first), dtype=bool)
             named[first[~known]] = CAPITAL
-        place = np.flatnonzero(kind != END)
-        self.raw, self.place = raw, place
-        self.kinds, self.own = [kind[place], named[place]], own[place]
+        kept = kind != END
+        self.kinds, self.own, self.single = [kind[kept], named[kept]], own[kept], char[start[kept]] == SINGLE
+        self.start, self.end, self.lower = self.start[kept], self.end[kept], self.lower[kept]
         self.codes = []
         for k in self.kinds:
-            code = self.own.copy()
+            own_codes = self.own.copy()
             for placeholder, c in _CODE.items():
-                code[k == placeholder] = c
-            self.codes.append(code)
-        self.item = np.repeat(np.arange(len(items)), list(map(len, parts)))[place] if items else place
+                own_codes[k == placeholder] = c
+            self.codes.append(own_codes)
+        ends = np.cumsum(np.fromiter(map(len, items), dtype=np.int64, count=len(items)) + 1)
+        self.item = np.searchsorted(ends, self.start, side="right")
         self.first = np.searchsorted(self.item, np.arange(len(items) + 1))
 
+    def raw(self, i: int) -> str:
+        return self.joined[self.start[i] : self.end[i]].lower()
+
     def __len__(self) -> int:
         return len(self.own)
 
@@ -143,15 +188,15 @@ class Tokens:
 
     def text(self, start: int, n: int, reading: int = 0) -> str:
         kind = self.kinds[reading]
-        return " ".join(PLACEHOLDER.get(int(kind[i])) or self.raw[self.place[i]].lower() for i in range(start, start + n))
+        return " ".join(PLACEHOLDER.get(int(kind[i])) or self.raw(i) for i in range(start, start + n))
 
     def raw_text(self, start: int, n: int) -> str:
         """The window's tokens after an equals sign, which no template has."""
-        return "=" + " ".join(self.raw[i].lower() for i in self.place[start : start + n])
+        return "=" + " ".join(map(self.raw, range(start, start + n)))
 
     def slots(self, start: int, n: int, reading: int = 0) -> list[str]:
         kind = self.kinds[reading]
-        return [self.raw[self.place[i]].lower() for i in range(start, start + n) if kind[i] != LITERAL]
+        return [self.raw(i) for i in range(start, start + n) if kind[i] != LITERAL]
 
     def all_windows(self, n: int, kept=lambda hashes: slice(None)) -> Iterator[tuple[int, str, list[str], int]]:
         """Start, text, slots and hash (signed) of all windows of ``n`` tokens, template and raw, whose hashes ``kept`` keeps."""
@@ -167,8 +212,8 @@ class Tokens:
 
     def need(self, item: int, run: int) -> int:
         """Tokens of a run that tell a text: ``run``, or the whole of a shorter one; more where most tokens are characters."""
-        own = self.place[self.first[item] : self.first[item + 1]]
-        if self.unspaced[item] and 2 * sum(bool(_UNSPACED.match(self.raw[i])) for i in own) > len(own):
+        own = self.single[self.first[item] : self.first[item + 1]]
+        if 2 * own.sum() > len(own):
             run = run * RUN_UNSPACED // RUN
         return min(run, len(own))
 
@@ -183,8 +228,8 @@ def lower_case_words(benchmark: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            code = np.unique(np.fromiter((_codes[w] for t in texts(b.column(0)) for w in _TOKEN.findall(t) if w.islower()), dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array((code & ~np.uint64(7)).view(np.int64))], ["w"])
+            t = Tokens(texts(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(t.own[t.lower & (t.kinds[0] == LITERAL)]).view(np.int64))], ["w"])
 
     found = pick(benchmark, "text").mapInArrow(run, "w long").distinct().toArrow().column("w").to_numpy()
     return np.sort(found.view(np.uint64))

@@ -180,6 +180,20 @@ def test_inconsistent_slots_break_a_run():
     assert decontaminate.longest_run([(0, 3, ["a", "b"], ["x", "x"])])[0] == 0
 
 
+def test_tokens_equal_the_pattern():
+    rng = random.Random(2)
+    alphabet = "aZé’'1290.,:!?。\n -_\u0130ßКпα中ไ𠀀😀Ⅷ²"
+    items = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(400)] + ["", "x" * 5000, "It's 3.5 km, isn’t it? 'Twas 12:30... 1,2,x"]
+    t = decontaminate.Tokens(items)
+    want = [[w.lower() for w in decontaminate.TOKEN.findall(x) if w[0] not in ".!?。！？\n"] for x in items]
+    assert [[t.raw(i) for i in range(a, b)] for a, b in zip(t.first, t.first[1:], strict=False)] == want
+    code = {}
+    for i, w in enumerate(w for x in want for w in x):
+        assert code.setdefault(w, int(t.own[i])) == int(t.own[i])
+    assert len(set(code.values())) == len(code)
+    assert len(decontaminate.Tokens([])) == len(decontaminate.Tokens([""])) == 0
+
+
 def one_to_one(pairs):
     return len(set(pairs)) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
 
