@@ -400,20 +400,46 @@ def test_language_model_equals_brute_force(docs_of, sf):
     assert brownlm.score_texts(docs_of([])).collect() == []
 
 
-def test_model_is_a_distribution(spark, sf):
-    rows = sf("documents").limit(60).select("text")
-    counts = brownlm.word_counts(rows).cache()
-    head = brownlm.frequent(counts, 1 << 17)
-    m = brownlm.train(rows, counts, head)
-    assert np.allclose((10**m.transition).sum(axis=1), 1)
-    symbol, mass = brownlm.Symbols(m.clustered), np.zeros(len(m.tokens))
-    for w, c in head:
-        mass[m.of[symbol[w]]] += 10 ** float(m.emission(np.array(float(c)), np.array(m.of[symbol[w]])))
-    last = m.of[symbol.end]
-    mass[last] += 10 ** float(m.emission(np.array(float(m.ends)), np.array(last)))
-    unseen = 0.5 / (m.tokens + 0.5 * (m.distinct + 1))
-    assert np.allclose(mass + unseen, 1)
-    assert dict(head) == {bytes(r.word): r.c for r in counts.collect()}
+def test_scores_equal_brute_force_and_classes_are_a_distribution(docs_of, sf, monkeypatch):
+    monkeypatch.setattr(brownlm, "CLUSTERED", 40)
+    monkeypatch.setattr(brownlm, "CLASSES", 6)
+    rows = [(r.doc_id, r.text) for r in sf("documents").limit(80).collect()] + [(9000, None), (9001, ""), (9002, "never seen words here"), (9003, "never seen " * 3000)]
+    for head in (100, 2):
+        monkeypatch.setattr(brownlm, "HEAD", head)
+        model, table = brownlm.learn(docs_of(rows))
+        words = {bytes(r.word): (r.c, r.k) for r in table.collect()}
+        size = len(model.tokens)
+        assert np.allclose((10**model.transition).sum(axis=1), 1) and model.transition.shape == (size, size)
+        mass = np.zeros(size)
+        for c, k in words.values():
+            mass[k] += 10 ** float(model.emission(np.array(float(c)), np.array(k)))
+        mass[model.unseen] += 0.5 / model.norm[model.unseen]
+        assert np.allclose(mass[:-1][mass[:-1] > 0], 1)
+        assert len({k for _, k in words.values()}) > 3
+        got = {r.doc_id: r for r in brownlm.score_with(docs_of(rows), model, table).collect()}
+        for i, t in rows:
+            own = [words.get(w, (0, model.unseen)) for w in brownlm.words_of(t or "")]
+            way = [size - 1, *(k for _, k in own), size - 1]
+            want = sum(model.transition[a, b] for a, b in zip(way, way[1:], strict=False))
+            want += sum(math.log10((c + 0.5) / model.norm[k]) for c, k in own)
+            assert got[i].score == pytest.approx(want)
+
+
+def test_every_word_takes_its_neighbours_class(docs_of, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(brownlm, "CLUSTERED", 20)
+    monkeypatch.setattr(brownlm, "CLASSES", 2)
+    # words of two kinds alternate; rare ones of either kind stand where their kind does
+    kinds = [[f"{c}{i}" for i in range(10)] for c in "pq"]
+    rare = [[f"r{c}{i}" for i in range(150)] for c in "pq"]
+    rows = []
+    for i in range(300):
+        line = [rng.choice(kinds[j % 2]) for j in range(40)]
+        line[10], line[21] = rng.choice(rare[0]), rng.choice(rare[1])
+        rows.append((i, " ".join(line)))
+    _, table = brownlm.learn(docs_of(rows))
+    of = {bytes(r.word).decode(): r.k for r in table.collect()}
+    assert {of[w] for w in kinds[0]} == {of[w] for w in rare[0] if w in of} != {of[w] for w in kinds[1]} == {of[w] for w in rare[1] if w in of}
 
 
 def test_exchange_never_lowers_the_likelihood():
