@@ -1,15 +1,14 @@
 """Licence scans by a positional index of rare words.
 
-Every licence template is a word sequence; the index holds each template word's places. A
-file's template words are looked up rarest first (by document frequency over the corpus):
-the rare words' positions less their places in the template must agree on a start, and
-there the words are compared and the mandatory key phrase is verified.
+Every licence template is a word sequence with a mandatory key phrase. The index has postings
+word -> (template, place) for the two words of each key phrase that are rarest over the corpus.
+A file's indexed words are looked up, rarest first: where the postings of both words agree on
+a start, the key phrase is verified whole, and then the template's words are compared.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +37,14 @@ NOTICES = (
     ("cc-by-sa", "licensed under cc by sa", "licensed under cc by sa 4 0"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved", "all rights reserved"),
+    ("agpl", "gnu affero general public license", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("bsl", "boost software license", "distributed under the boost software license version 1 0"),
+    ("zlib", "in no event will the authors be held liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("cc0", "copyright and related and neighboring rights", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("postgresql", "without fee and without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("artistic", "artistic license", "licensed under the artistic license 2 0"),
+    ("gfdl", "gnu free documentation license", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
 )
 
 #: Bytes that aren't part of a word become spaces; A-Z become a-z; all from 0x80 stay.
@@ -69,55 +76,41 @@ def templates() -> list[Template]:
 
 
 class Index:
-    """Postings word -> (template, place), and each template's rarest words as its anchors."""
+    """Postings word -> (template, place, the key phrase's next rarest word, its place), for each template's rarest key word."""
 
-    def __init__(self, found: list[Template], frequency: dict[bytes, int], docs: int, anchors: int = 3):
+    def __init__(self, found: list[Template], frequency: dict[bytes, int], docs: int):
         self.templates = found
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[bytes, list[tuple[int, int, bytes, int]]] = defaultdict(list)
+        self.idf = {w: math.log((docs + 1) / (frequency.get(w, 0) + 0.5)) for x in found for w in x.key}
         for t, x in enumerate(found):
-            for i, w in enumerate(x.words):
-                self.postings[w].append((t, i))
-        idf = {w: math.log((docs + 1) / (frequency.get(w, 0) + 0.5)) for w in self.postings}
-        self.anchors = []
-        for x in found:
-            rare = sorted(range(len(x.words)), key=lambda i: (-idf[x.words[i]], i))
-            self.anchors.append(rare if x.base else rare[:anchors])
-
-    def starts(self, t: int, at: dict[bytes, list[int]], all_of: bool) -> list[int]:
-        """Starts on which the anchors' positions agree: all anchors, or two of them (one, if there is just one)."""
-        x, own = self.templates[t], self.anchors[t]
-        if all_of:
-            first = at.get(x.words[own[0]])
-            if not first:
-                return []
-            kept = [p - own[0] for p in first]
-            for i in own[1:]:
-                there = at.get(x.words[i], [])
-                kept = [s for s in kept if (j := bisect_left(there, s + i)) < len(there) and there[j] == s + i]
-            return kept
-        votes = Counter(p - i for i in own for p in at.get(x.words[i], ()))
-        return sorted(s for s, n in votes.items() if n >= min(2, len(own)))
+            places = sorted(range(x.key_at, x.key_at + len(x.key)), key=lambda i: (-self.idf[x.words[i]], i))
+            first, other = places[0], places[min(1, len(places) - 1)]
+            self.postings[x.words[first]].append((t, first, x.words[other], other))
 
-    def scan(self, words: list[bytes], coverage: float = 0.75) -> tuple[list[tuple[str, int]], dict[str, float]]:
-        """Base places (label, start), and the method's labels with their best coverage."""
+    def starts(self, words: list[bytes]) -> Iterator[tuple[Template, int]]:
+        """Templates with the starts on which the postings of their two rarest key words agree and their key phrase stands whole."""
         at: dict[bytes, list[int]] = defaultdict(list)
-        known = self.postings
+        known, n = self.postings, len(words)
         for i in [i for i, w in enumerate(words) if w in known]:
             at[words[i]].append(i)
+        for w in sorted(at, key=lambda w: -self.idf[w]):
+            for t, place, other, there in known[w]:
+                x = self.templates[t]
+                for s in (p - place for p in at[w]):
+                    k = s + x.key_at
+                    if 0 <= s + there < n and words[s + there] == other and k >= 0 and tuple(words[k : k + len(x.key)]) == x.key:
+                        yield x, s
+
+    def scan(self, words: list[bytes], coverage: float = 0.75) -> tuple[list[tuple[str, int]], dict[str, float]]:
+        """Base places (label, start), and the method's labels with their best coverage."""
         base, labels = [], {}
-        if not at:
-            return base, labels
-        for t, x in enumerate(self.templates):
+        for x, s in self.starts(words):
             if x.base:
-                base += [(x.label, s) for s in self.starts(t, at, True)]
+                base.append((x.label, s))
                 continue
-            for s in self.starts(t, at, False):
-                k = s + x.key_at
-                if k < 0 or tuple(words[k : k + len(x.key)]) != x.key:
-                    continue
-                same = sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(x.words)) / len(x.words)
-                if same >= coverage:
-                    labels[x.label] = max(labels.get(x.label, 0.0), same)
+            same = sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(x.words)) / len(x.words)
+            if same >= coverage:
+                labels[x.label] = max(labels.get(x.label, 0.0), same)
         return base, labels
 
 
@@ -143,14 +136,14 @@ def scan(docs: DataFrame, coverage: float = 0.75) -> DataFrame:
     n_base counts the places where a base phrase stands; first_word and last_word are their
     least and greatest starts (null if none). base_labels are theirs, labels the method's
     too: distinct, sorted, comma-joined, empty if none. score: 1 for a base phrase, else the
-    best share of a notice's words found in place. A notice counts if its rare words agree on
-    a start, its key phrase stands there whole and ``coverage`` of its words match.
+    best share of a notice's words found in place. A notice counts if its key phrase stands
+    whole and ``coverage`` of its words match around it.
 
     Null and empty texts have no words. Repeated rows give a row each, null ids stay null,
     other columns play no part, an empty table gives an empty result.
     """
     found = templates()
-    frequency, n = document_frequency(docs, {w for t in found for w in t.words})
+    frequency, n = document_frequency(docs, {w for t in found for w in t.key})
     index = Index(found, frequency, n)
     src = pick(docs, "doc_id", "text")
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
