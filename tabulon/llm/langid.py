@@ -83,7 +83,7 @@ class Model:
         for i in range(len(self.languages)):
             total = np.concatenate([[0], np.cumsum((masks >> i) & 1, dtype=np.int64)])
             hits[:, i] = total[ends] - total[ends - n]
-        return np.clip((hits / np.maximum(n, 1)[:, None] - self.false_rate) / (1 - self.false_rate), 0, 1)
+        return np.clip((hits / np.maximum(n, 1)[:, None] - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
 
     def predict(self, items: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; ``und`` and 0 for those without a letter."""
