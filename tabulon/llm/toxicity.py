@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, discard, materialise, pick, slices, texts
 
-#: Bounds of the model, not of the data: terms kept, candidates weighed, labelled rows the regression sees.
-LEXICON, CANDIDATES, FIT_ROWS = 300, 20_000, 20_000
-#: Support among toxic texts, and how many times likelier a term is there.
-SUPPORT, LEAST, LIFT = 0.01, 2, 8.0
+#: A bound of the model, not of the data: labelled rows of each kind that the regression sees.
+FIT_ROWS = 10_000
+#: How many times likelier a term is among toxic texts, and its support there: so many texts and this share of them,
+#: or a log-likelihood ratio against the same rate in both kinds (30: one term in 20 million by chance).
+LIFT, LEAST, SUPPORT, SIGNIFICANT = 8.0, 2, 0.01, 30.0
 STEMS, LONGEST = (4, 5, 6, 7), 24
 MOST_STATES = 50_000
 WINDOW_CHARS, NEAR_WORDS = 80, 25
@@ -228,29 +229,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def term_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """``(term, n)``: in how many of the texts each term (or each of ``only``) stands; tasks add up first."""
+def term_counts(rows: DataFrame) -> DataFrame:
+    """``(term, n1, n0)``: in how many toxic and clean texts each term stands; tasks add up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-            seen.clear()
-            return b
+        def out() -> Iterator[pa.RecordBatch]:
+            for i, c in enumerate(seen):
+                n, none = pa.array(list(c.values()), pa.int64()), pa.array([0] * len(c), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), *((none, n) if i == 0 else (n, none))], ["term", "n1", "n0"])
+                c.clear()
 
         for b in slices(batches, "text"):
-            for t in texts(b.column(0)):
-                seen.update(terms_of(t) if only is None else only & terms_of(t))
-            if len(seen) > 300_000:
-                yield out()
-        yield out()
+            for t, toxic in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
+                seen[toxic].update(terms_of(t))
+            if len(seen[0]) + len(seen[1]) > 300_000:
+                yield from out()
+        yield from out()
 
-    return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic").mapInArrow(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int, most: int = LEXICON) -> tuple[list[str], list[float]]:
-    """The lexicon: well-supported terms of high lift, best first, without those a longer term stands for."""
+def telling(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The rows of ``counts`` whose terms have LIFT and support among the ``n1`` toxic texts."""
+    lift = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
+    part = lambda k, n, p: k * F.log(F.greatest(k / n, F.lit(1e-300)) / p) + (n - k) * F.log(F.greatest(1 - k / n, F.lit(1e-300)) / (1 - p))
+    both = F.least((F.col("n1") + F.col("n0")) / (n1 + n0), F.lit(1 - 1e-12))
+    ratio = 2 * (part(F.col("n1"), F.lit(n1), both) + part(F.col("n0"), F.lit(n0), both))
+    return counts.where((F.col("n1") >= LEAST) & (lift >= LIFT) & ((F.col("n1") >= math.ceil(SUPPORT * n1)) | (ratio >= SIGNIFICANT)))
+
+
+def choose(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> tuple[list[str], list[float]]:
+    """The lexicon: terms of high lift, best first, without those a longer term stands for."""
     rated = []
     for t, n in toxic.items():
         lift = ((n + 0.5) / (n1 + 1)) / ((clean.get(t, 0) + 0.5) / (n0 + 1))
@@ -262,19 +273,20 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int, most:
         for k in STEMS:
             if k < len(bare) or k == len(bare) and t == bare:
                 longer[bare[:k] + "*"] = max(longer[bare[:k] + "*"], toxic[t])
-    kept = [x for x in sorted(rated) if not x[1].endswith("*") or longer[x[1]] < 0.95 * toxic[x[1]]][:most]
+    kept = [x for x in sorted(rated) if not x[1].endswith("*") or longer[x[1]] < 0.95 * toxic[x[1]]]
     return [t for _, t, _ in kept], [w for _, _, w in kept]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Logistic regression with an intercept, by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
+    """Logistic regression with an intercept, by Newton's method; a row counts ``weight`` times."""
+    w = np.ones(len(x)) if weight is None else weight
     a = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(a.shape[1])
     penalty = np.full(a.shape[1], ridge)
     penalty[0] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * beta)
+        step = np.linalg.solve((a * (w * p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (w * (y - p)) - penalty * beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -290,7 +302,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame) -> Model:
-    """Learn from all rows (doc_id, text, toxic); the regression sees about FIT_ROWS of them, chosen by hash."""
+    """Learn from all rows (doc_id, text, toxic); the regression sees about FIT_ROWS of each kind, chosen by hash and weighted back."""
     rows = materialise(rows, "toxic-train")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -298,13 +310,12 @@ def train(rows: DataFrame) -> Model:
         model = Model([], np.zeros(0))
         model.coefficients[0] = math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -5.0
         return model
-    support = max(LEAST, math.ceil(SUPPORT * n1))
-    toxic = {r.term: r.n for r in term_counts(rows.where("toxic = 1")).where(F.col("n") >= support).orderBy(F.col("n").desc(), "term").limit(CANDIDATES).collect()}
-    clean = {r.term: r.n for r in term_counts(rows.where("toxic = 0"), frozenset(toxic)).collect()}
-    lexicon, weights = choose(toxic, clean, n1, n0)
+    found = telling(term_counts(rows), n1, n0).collect()  # the lexicon's candidates: what passes both tests
+    lexicon, weights = choose({r.term: r.n1 for r in found}, {r.term: r.n0 for r in found}, n1, n0)
     model = Model(lexicon, np.array(weights))
-    share = min(1.0, FIT_ROWS / (n1 + n0))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = {k: min(1.0, FIT_ROWS / n[k]) for k in (0, 1)}
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.where(chance < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,13 +326,14 @@ def train(rows: DataFrame) -> Model:
     seen = sample.select("text", "toxic").mapInArrow(run, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
     discard(rows)
     if seen.num_rows:
-        model.coefficients = fit(np.column_stack([seen.column(f).to_numpy() for f in FEATURES]), seen.column("y").to_numpy().astype(float))
+        y = seen.column("y").to_numpy().astype(float)
+        model.coefficients = fit(np.column_stack([seen.column(f).to_numpy() for f in FEATURES]), y, np.where(y == 1, 1 / share[1], 1 / share[0]))
     return model
 
 
 def scorer(docs: DataFrame, model: Model):
     """A column function text -> score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the lexicon: toxic texts' telling terms
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:

@@ -45,8 +45,76 @@ def test_licence_base_equals_brute_force(docs_of, sf):
     assert licences.scan(docs_of([])).collect() == []
 
 
+def test_licence_labels_equal_brute_force(docs_of):
+    rng = random.Random(5)
+    found, filler = licences.templates(), ["software", "the", "license", "public", "foo", "permission", "any"]
+    rows = []
+    for i in range(240):
+        words = rng.choices(filler, k=rng.randrange(30))
+        for t in rng.sample(found, rng.randrange(3)):
+            part = [w.decode() if rng.random() > 0.08 else rng.choice(filler) for w in t.words]
+            words += part[rng.choice([0, 0, 0, 3]) :] + rng.choices(filler, k=rng.randrange(4))
+        rows.append((i, " ".join(words)))
+    rows.append((999, " ".join("all rights reserved mit license" for _ in range(20_000))))
+
+    def labels(words):
+        out = {}
+        for t in found:
+            for s in range(-len(t.words), len(words) if not t.base else 0):
+                k = s + t.key_at
+                if k < 0 or tuple(words[k : k + len(t.key)]) != t.key:
+                    continue
+                same = sum(0 <= s + i < len(words) and words[s + i] == w for i, w in enumerate(t.words)) / len(t.words)
+                if same >= 0.75:
+                    out[t.label] = max(out.get(t.label, 0), same)
+        return out
+
+    for r in licences.scan(docs_of(rows)).collect():
+        if r.doc_id == 999:
+            assert (r.n_base, r.labels) == (20_000, "mit,proprietary")
+            continue
+        words = licences.words_of(rows[r.doc_id][1])
+        want = labels(words)
+        assert set(filter(None, r.labels.split(","))) == want.keys() | set(filter(None, r.base_labels.split(",")))
+        assert r.score == (1.0 if r.n_base else max(want.values(), default=0.0))
+
+
 # --- language ID
 
+def test_predictions_equal_brute_force(docs_of, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in sf("documents").collect()]
+
+    def grams(text):
+        raw = re.sub("[\t\n\r\x0b\x0c]", " ", (text or "").lower()).encode()
+        raw = b"  " + raw + b"  "
+        ok = lambda w: all(c == 32 or 97 <= c <= 122 or c >= 128 for c in w) and w != b"    "
+        return [raw[i : i + 4] for i in range(len(raw) - 3) if ok(raw[i : i + 4])]
+
+    counts = defaultdict(Counter)
+    for i, t, la in rows:
+        if la is not None and mod(i, 3) != 1:
+            counts[la].update(grams(t))
+    share = {la: {w: n / c.total() for w, n in c.items()} for la, c in counts.items()}
+    top = Counter()
+    for c in share.values():
+        for w, p in c.items():
+            top[w] = max(top[w], p)
+    knows = {la: {w for w, p in share[la].items() if p >= 0.25 * top[w] and c[w] >= 2} for la, c in counts.items()}
+    got = {r.doc_id: r for r in langid.identify(docs_of(rows)).collect()}
+    close = 0
+    for i, t, _ in rows:
+        g = grams(t)
+        part = {la: sum(w in k for w in g) / max(len(g), 1) for la, k in knows.items()}
+        first, second = sorted(part.values(), reverse=True)[:2]
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+        elif first - second > 1e-3:  # the filter has a few false positives
+            close += 1
+            assert part[got[i].lang_pred] == first
+            assert got[i].score == pytest.approx(0.5 + 0.5 * (first - second) / first, abs=2e-3)
+    assert close > 0.9 * len(rows)
+
+
 def test_language_held_out_accuracy_and_edges(docs_of, sf):
     rows = [(r.doc_id, r.text, r.lang) for r in sf("documents").collect()]
     edges = [(9000, None, "en"), (9001, "", "en"), (9002, "123 !?", "fr"), (9003, "le " * 200_000, None), (None, "The thing and the other", None), (0, rows[0][1], rows[0][2])]
@@ -367,6 +435,23 @@ def test_toxicity_held_out_and_edges(spark, docs_of):
     assert len({r.score for r in toxicity.score_toxicity(docs_of(rows[:9]), lab.limit(0)).collect()}) == 1
 
 
+def test_terms_are_chosen_over_all_texts(spark):
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choices(["plain", "words", "here", "often"], k=6) + (["vile"] if t and rng.random() < 0.4 else [])), t) for t in rng.choices([0, 1], [9, 1], k=12_000)]
+    rows += [("plain words with rareslur", 1)] * 9
+    n1 = sum(t for _, t in rows)
+    toxic, clean = Counter(), Counter()
+    for text, t in rows:
+        (toxic if t else clean).update(toxicity.terms_of(text))
+    counts = toxicity.term_counts(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {r.term: (r.n1, r.n0) for r in counts.collect()} == {t: (toxic[t], clean[t]) for t in toxic | clean}
+    got = {r.term for r in toxicity.telling(counts, n1, len(rows) - n1).collect()}
+    # a term in less than a hundredth of the toxic texts counts, for it is never in clean ones
+    assert 0 < toxic["rareslur"] < 0.01 * n1 and {"vile", "rareslur"} <= got and "plain" not in got
+    x, y = np.array([[0.0], [1.0], [1.0], [0.0]]), np.array([0.0, 1.0, 0.0, 1.0])
+    assert np.allclose(toxicity.fit(x, y, np.array([3.0, 2, 1, 1])), toxicity.fit(np.repeat(x, [3, 2, 1, 1], axis=0), np.repeat(y, [3, 2, 1, 1])))
+
+
 def test_quotation_weighs_less():
     model = toxicity.Model(["idiot"], np.array([3.0]))
     plain, quoted = model.features(["you are an idiot my friend", 'he said "you are an idiot" to me'])
