@@ -55,14 +55,16 @@ class Automaton:
     edits of a node are kept. Transitions are found once and kept in a table.
     """
 
-    def __init__(self, lexicon: list[str]):
+    def __init__(self, lexicon: list[str], most: list[int] | None = None):
+        """``most``: how many edits each term forgives, by its length if not given."""
         self.lexicon = lexicon
+        self.most = list(map(edits, lexicon)) if most is None else most
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.allowed = [0]
         for t, term in enumerate(lexicon):
             at = 0
-            self.allowed[0] = max(self.allowed[0], edits(term))
+            self.allowed[0] = max(self.allowed[0], self.most[t])
             for c in term.removesuffix("*"):
                 if c not in self.child[at]:
                     self.child[at][c] = len(self.child)
@@ -70,7 +72,7 @@ class Automaton:
                     self.ends.append([])
                     self.allowed.append(0)
                 at = self.child[at][c]
-                self.allowed[at] = max(self.allowed[at], edits(term))
+                self.allowed[at] = max(self.allowed[at], self.most[t])
             self.ends[at].append(t)
         alphabet = sorted({c for term in lexicon for c in term.removesuffix("*")})
         self.letters = ["", *alphabet]  # class 0: any other character
@@ -109,7 +111,7 @@ class Automaton:
         if i >= len(self.table):
             self.table = np.vstack([self.table, np.full_like(self.table, -1)])
             self.found = np.concatenate([self.found, np.full_like(self.found, -1)])
-        hits = [(e, t) for n, e in nodes.items() for t in self.ends[n] if e <= edits(self.lexicon[t]) and not (self.lexicon[t].endswith("*") and e)]
+        hits = [(e, t) for n, e in nodes.items() for t in self.ends[n] if e <= self.most[t] and not (self.lexicon[t].endswith("*") and e)]
         if stem >= 0:
             hits.append((0, stem))
         if hits:
@@ -174,20 +176,21 @@ FEATURES = ("exact", "misspelled", "quoted", "near", "density", "distinct")
 
 @dataclass
 class Model:
-    """lexicon with weights (log lift), and the regression's centre, spread, coefficients."""
+    """lexicon with weights (log lift), how many edits each term forgives, and the regression's coefficients."""
 
     lexicon: list[str]
     weight: np.ndarray
+    most: list[int] | None = None
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
     _automaton: Automaton | None = None
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "weight": self.weight, "coefficients": self.coefficients, "_automaton": None}
+        return {"lexicon": self.lexicon, "weight": self.weight, "most": self.most, "coefficients": self.coefficients, "_automaton": None}
 
     @property
     def automaton(self) -> Automaton:
         if self._automaton is None:
-            self._automaton = Automaton(self.lexicon)
+            self._automaton = Automaton(self.lexicon, self.most)
         return self._automaton
 
     def features(self, items: list[str]) -> np.ndarray:
@@ -312,7 +315,9 @@ def train(rows: DataFrame) -> Model:
         return model
     found = telling(term_counts(rows), n1, n0).collect()  # the lexicon's candidates: what passes both tests
     lexicon, weights = choose({r.term: r.n1 for r in found}, {r.term: r.n0 for r in found}, n1, n0)
-    model = Model(lexicon, np.array(weights))
+    # a rare term counts as it stands: what is near it is too often another word
+    toxic = {r.term: r.n1 for r in found}
+    model = Model(lexicon, np.array(weights), [edits(t) if toxic[t] >= math.ceil(SUPPORT * n1) else 0 for t in lexicon])
     share = {k: min(1.0, FIT_ROWS / n[k]) for k in (0, 1)}
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.where(chance < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
