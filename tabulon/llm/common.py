@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,9 +36,11 @@ def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str], list[str]]:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The cluster's shared folder: spark.checkpoint.dir; where it is unset, one in the warehouse, or of our own if all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tabulon"
     if not base:
         base = _OWN_SCRATCH.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tabulon-"))
     return f"{base.rstrip('/')}/{app}"
