@@ -27,15 +27,17 @@ def exact_lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, returns:
     return joined.select(*[df[c] for c in df.columns], *made)
 
 
-def approximate_lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, returns: dict[str, str], parts: int = 64) -> DataFrame:
+def approximate_lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, returns: dict[str, str], parts: int = 64, position: str | None = None) -> DataFrame:
     """``df`` with columns of the ``dim`` row of the greatest numeric key at or below the row's key; null below all.
 
+    Of rows with equal keys the last by ``position`` counts, or without one that of the greatest values.
+
     Both sides are dealt into ranges of the key; within a range the last dimension row seen
     counts, and a range begins with the last one of the ranges before it. No task sees all rows.
     """
     cuts = boundaries(df.select(F.col(key).cast("double").alias("_k")), "_k", parts)
     hit = F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(returns.values())])
-    of_dim = dim.where(F.col(dim_key).isNotNull()).groupBy(F.col(dim_key).cast("double").alias("_k")).agg(F.first(hit).alias("_hit"))
+    of_dim = dim.where(F.col(dim_key).isNotNull()).groupBy(F.col(dim_key).cast("double").alias("_k")).agg((F.max(hit) if position is None else F.max_by(hit, position)).alias("_hit"))
     of_dim = of_dim.withColumn("_b", range_bucket(F.col("_k"), cuts))
     left = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.col(key).cast("double").alias("_k"))
     left = left.withColumn("_b", F.when(F.col("_k").isNull(), -1).otherwise(range_bucket(F.col("_k"), cuts)))
