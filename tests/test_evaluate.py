@@ -40,5 +40,5 @@ def test_every_customer_is_evaluated(spark):
     from tabulon.plans import queries as q
 
     d = "/root/testdata/sf0.001"
-    got = [r.c_custkey for r in q.queries()["workbook_values_whole"](spark, d).collect()]
+    got = [r.c_custkey for r in q.queries()["workbook_values"](spark, d).collect()]
     assert sorted(got) == sorted(r.c_custkey for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect())
