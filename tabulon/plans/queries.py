@@ -404,16 +404,42 @@ def recent_topk(spark, d):
     return log.recent(_read(spark, d, "events"), "user_id", 7, [F.col("ts").desc(), F.col("event_id").desc()], 20).select("event_id", "event_type")
 
 
+def _steps(spark, d):
+    return log.session_starts(_read(spark, d, "events"), "user_id", F.floor(_ms()).cast("long"), ["event_id"], 21_600_000)
+
+
 @query()
 def mined_patterns(spark, d):
     from tabulon.streaming import mining
 
-    e = log.session_starts(_read(spark, d, "events"), "user_id", F.floor(_ms()).cast("long"), ["event_id"], 21_600_000)
-    return mining.mine_frame(e, "user_id", "session_start_ms", "event_type", ["ts", "event_id"])
+    return mining.mine(_steps(spark, d), ["user_id"], "session_start_ms", "event_type", ["ts", "event_id"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, ts, epoch_us(ts) // 1000 AS ms FROM events),
+     g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) <= 21600000 THEN 0 ELSE 1 END AS new FROM e),
+     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+     o AS (SELECT user_id, k, event_type AS t, lag(event_type) OVER w AS before, row_number() OVER w AS o FROM s WINDOW w AS (PARTITION BY user_id, k ORDER BY ts, event_id)),
+     p AS (SELECT user_id, k, [t] AS w, min(o) AS at FROM o GROUP BY user_id, k, t
+           UNION ALL
+           SELECT p.user_id, p.k, list_append(p.w, o.t), o.o FROM p JOIN o ON o.user_id = p.user_id AND o.k = p.k
+           WHERE len(p.w) < 12 AND (o.o = p.at + 1 OR o.o = p.at + 2 AND o.t <> o.before)),
+     f AS (SELECT user_id, w, count(*) AS support FROM p WHERE len(w) >= 2 GROUP BY user_id, w HAVING count(*) >= 3)
+SELECT user_id, array_to_string(w, '>') AS pattern, support FROM f
+WHERE NOT EXISTS (SELECT 1 FROM f q WHERE q.user_id = f.user_id AND len(q.w) > len(f.w) AND array_to_string(q.w, '>') || '>' LIKE '%' || array_to_string(f.w, '>%') || '>%')""")
+def recurring_patterns(spark, d):
+    from tabulon.streaming import mining
 
+    rows = mining.session_rows(_steps(spark, d), ["user_id"], "session_start_ms", "event_type", ["ts", "event_id"])
+    found = mining.recurring(rows.withColumn("free", F.transform("tokens", lambda t: F.lit(True))))
+    return found.select("key.user_id", F.concat_ws(">", "tokens").alias("pattern"), "support")
 
-@query()
+
+@query("""SELECT page_id AS key, 0 AS r, 0 AS c, CAST(page_id AS VARCHAR) AS value FROM pages UNION ALL SELECT page_id, 0, 1, trim(url) FROM pages
+          UNION ALL SELECT page_id, 1, 0, 'bytes' FROM pages UNION ALL SELECT page_id, 1, 1, CAST(octet_length(encode(html)) AS VARCHAR) FROM pages""")
 def page_tables(spark, d):
     from tabulon.sources.files import page_tables as cells
 
-    return cells(_read(spark, d, "pages"), "page_id", "html")
+    # no page of the data holds a table: each gets one of its own, in front of its whole text
+    row = lambda *x: F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *x), F.lit("</td></tr>"))
+    own = row(F.col("page_id").cast("string"), F.replace("url", F.lit("&"), F.lit("&amp;"))), row(F.lit("bytes"), F.octet_length("html").cast("string"))
+    return cells(_read(spark, d, "pages").withColumn("html", F.concat(F.lit("<table>"), *own, F.lit("</table>"), "html")), "page_id", "html")
