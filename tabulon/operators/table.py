@@ -57,6 +57,10 @@ class Table:
         shown = V.displayed(self._compiler().header(header))
         return replace(self, frame=self.frame.withColumn("_hidden", ~shown.isin(list(allowed))), hidden="_hidden")
 
+    def reconcile(self, left: str, right: str, aggregate: str = "SUM", by: Sequence[str] = ()) -> DataFrame:
+        """``by, variance``: an aggregate of one column less that of another."""
+        return self.summarise({"variance": f"{aggregate}({{{left}}})-{aggregate}({{{right}}})"}, by)
+
     def summarise(self, formulas: dict[str, str], by: Sequence[str] = (), errors: str = "null") -> DataFrame:
         """Aggregate formulas over all rows, or over groups."""
         c = self._compiler(mode="summary", grouped=bool(by))

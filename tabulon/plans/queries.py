@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import function_queries  # noqa: F401  (it registers its own)
+    from . import function_queries, workbook_queries  # noqa: F401  (they register their own)
 
     return dict(_QUERIES)
 
