@@ -99,3 +99,31 @@ def upserted_routines(spark, d):
     mined = found.unionAll(found.withColumn("id", F.col("id") + 1_000_000))
     out = store.upsert_routines(old, mined, s.where("workbook_id = 0").select("actor_id", "workbook_id"))
     return out.select("id", "actor_id", "workbook_id", "minutes", "status")
+
+
+@query("""SELECT o_orderkey AS id, CAST(o_custkey * 3 AS VARCHAR) AS got, CASE WHEN o_orderkey % 7 = 0 THEN 'unsettled' WHEN o_orderkey % 2 = 0 THEN 'match' WHEN o_orderkey % 3 = 0 THEN 'accepted' ELSE 'differs' END AS verdict FROM orders""")
+def judged_cases(spark, d):
+    from tabulon.operators import parity
+
+    k = F.col("o_orderkey")
+    cases = _read(spark, d, "orders").select(
+        k.alias("id"), F.lit("=A1*3").alias("formula"), F.when(k % 2 == 0, F.col("o_custkey") * 3).otherwise(-1).cast("string").alias("expect"), F.when(k % 7 == 0, "open").otherwise("known").alias("source"), F.lit("B2").alias("at"),
+        F.create_map(F.lit("A1"), F.col("o_custkey").cast("string")).alias("given"), ((k % 2 == 1) & (k % 3 == 0)).alias("known_difference"),
+    )
+    return parity.outcomes(cases).select("id", "got", "verdict")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS input, 'A' || (event_id % 3 + 1) AS addr FROM events),
+          w AS (SELECT *, lag(input) OVER (PARTITION BY user_id, addr ORDER BY event_id) AS was FROM e)
+          SELECT user_id AS session, event_id AS seq, addr, nullif(input, '') AS input, coalesce(nullif(was, ''), '') <> input AS changed FROM w""")
+def edit_transitions(spark, d):
+    from tabulon.streaming import export
+
+    e = _read(spark, d, "events")
+    wiped = F.col("event_type") == "error"
+    log = e.select(
+        F.col("user_id").cast("string").alias("session_id"), F.lit("w").alias("workbook_id"), F.col("event_id").alias("seq"), F.when(wiped, "cell.clear").otherwise("cell.edit").alias("action"),
+        F.to_json(F.struct(F.concat(F.lit("a"), (F.col("event_id") % 3 + 1).cast("string")).alias("addr"), F.col("event_type").alias("input"))).alias("payload"), F.struct(F.lit("S").alias("sheet"), F.lit("full").alias("privacy_mode")).alias("context"),
+    )
+    out = export.transitions(log)
+    return out.select(F.col("session_id").cast("long").alias("session"), "seq", "addr", "input", (F.col("pre_state_digest") != F.col("post_state_digest")).alias("changed"))

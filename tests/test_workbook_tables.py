@@ -68,3 +68,37 @@ def test_times_consent_and_records(spark, tmp_path):
     store.write_dataset(records, str(tmp_path / "out"), "v1", True)
     assert spark.read.json(str(tmp_path / "out/records")).count() == 3
     assert {(r.session_id, r.records, r.schema, r.consent_checked) for r in spark.read.json(str(tmp_path / "out/manifest")).collect()} == {("s", 2, "v1", True), ("t", 1, "v1", True)}
+
+
+def test_states_before_and_after_edits(spark):
+    from tabulon.operators.tasks import digest_chain
+    from tabulon.streaming import export
+
+    def event(session, seq, action, payload, mode="full"):
+        return (session, "w", seq, action, payload, ("S", mode))
+
+    log = [
+        event("s", 0, "cell.edit", '{"addr": "A1", "input": "x"}'), event("s", 1, "nav.select", "{}"), event("s", 2, "cell.edit", '{"addr": "B1", "input": 2}'), event("s", 3, "cell.edit", '{"addr": "a1", "input": "y"}'),
+        event("s", 4, "cell.clear", '{"addr": "B1"}'), event("s", 5, "cell.edit", '{"addr": "A1", "input": "x"}'), event("t", 0, "cell.edit", '{"addr": "A1", "input": {"hash": "00000000ffff", "type": "number"}}', "structural"),
+        event("t", 1, "cell.edit", '{"addr": "A1", "input": {"hash": "zz", "type": "text"}}', "structural"), event("t", 2, "cell.clear", '{"addr": "A1"}', "structural"), event("t", 3, "cell.edit", None),
+    ]
+    out = export.transitions(spark.createDataFrame(log, "session_id string, workbook_id string, seq long, action string, payload string, context struct<sheet:string,privacy_mode:string>"))
+    rows = {(r.session_id, r.seq): r for r in out.collect()}
+    assert sorted(rows) == [("s", 0), ("s", 2), ("s", 3), ("s", 4), ("s", 5), ("t", 0), ("t", 1), ("t", 2)]
+    assert digest_chain(out).collect() == []
+    assert rows["s", 5].post_state_digest == rows["s", 0].post_state_digest and rows["t", 2].post_state_digest == rows["s", 0].pre_state_digest == rows["t", 0].pre_state_digest
+    assert len({rows["s", k].post_state_digest for k in (0, 2, 3, 4)}) == 4
+    assert [rows["t", k].input for k in range(3)] == [str(0xFFFF % 9000 + 1000), "'v000000", None] and rows["t", 0].values_synthetic and not rows["s", 0].values_synthetic
+
+
+def test_cases_of_formulas(spark, tmp_path):
+    from tabulon.operators import parity
+
+    (tmp_path / "a.toml").write_text('[[case]]\nid = "one"\nformula = "=A1+1"\nexpect = "3"\nsource = "known"\nfunctions = ["SUM"]\nnote = "n"\n[case.given]\nA1 = "2"\n')
+    (tmp_path / "b.toml").write_text('[[case]]\nid = "two"\nformula = "=1/0"\nexpect = "0"\nsource = "spec"\nknown_difference = true\nnote = "n"\n[[case]]\nid = "three"\nformula = "=2"\nexpect = "2"\nsource = "open"\nat = "?"\nnote = "n"\n')
+    judged = parity.outcomes(parity.load_cases(spark, str(tmp_path)))
+    assert {r.id: (r.got, r.verdict) for r in judged.collect()} == {"one": ("3", "match"), "two": ("#DIV/0!", "accepted"), "three": ("!bad address ?", "unsettled")}
+    assert parity.scorecard(judged).first().asDict() == {"settled": 2, "matched": 1, "open": 1, "accepted": 1, "functions": 1}
+    (tmp_path / "c.toml").write_text('[[case]]\nid = "one"\nformula = "=1"\nexpect = "1"\nsource = "known"\nnote = "n"\n')
+    with pytest.raises(ValueError, match="twice"):
+        parity.load_cases(spark, str(tmp_path))
