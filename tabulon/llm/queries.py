@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brownlm, decontaminate, langid, lengths, licences, maxscore, packing, simhash, toxicity, warc
+from . import brownlm, decontaminate, fingerprints, langid, lengths, licences, maxscore, packing, simhash, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
