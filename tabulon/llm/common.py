@@ -100,3 +100,20 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 4_000_000)
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % n
+
+
+def steps(count: Column) -> Column:
+    """Which power of the fourth root of two a count of 1 or more reaches: fewer than 256 steps for any long."""
+    return F.floor(F.log2(count) * 4).cast("int")
+
+
+def head_bound(counts: DataFrame, column: str, most: int) -> int:
+    """The least count, taken by :func:`steps`, that no more than ``most`` rows of ``counts`` reach."""
+    per = counts.groupBy(steps(F.col(column)).alias("step")).agg(F.count("*").alias("rows"), F.min(column).alias("least"))
+    total, bound = 0, (1 << 63) - 1
+    for r in sorted(per.collect(), key=lambda r: -r.step):
+        total += r.rows
+        if total > most:
+            break
+        bound = r.least
+    return bound

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brownlm, decontaminate, fingerprints, langid, lengths, licences, maxscore, packing, simhash, toxicity, warc
+from . import alignment, brownlm, decontaminate, fingerprints, langid, lengths, licences, maxscore, packing, phrases, simhash, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_study(table(spark, sf_dir, "documents"))
 
@@ -85,5 +93,34 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, ws FROM f WHERE k >= 2 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, x.k, p.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (p.f + r.f) AS BIGINT) AS score
+  FROM c JOIN (SELECT unnest([1, 2, 3]) AS k) x ON x.k < c.k
+  JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:x.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[x.k + 1:], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT c.*, x.m, unnest(range(1, c.k - x.m + 2)) AS i FROM c JOIN (SELECT unnest([2, 3]) AS m) x ON x.m < c.k)
+), longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) LEFT JOIN longer USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 80 * a
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL, "op10_maxscore": OP10_SQL}
+    return {"op8_warc": OP8_SQL, "op10_maxscore": OP10_SQL, "op12_collocations": OP12_SQL}

@@ -60,6 +60,21 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, to which special tokens' strings are plain text."""
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True
+        return own
+
+    def plain_ids(self, text: str) -> list[int]:
+        """The ids of a text in which special tokens' strings are plain text."""
+        if self.ranked and _PLAIN.fullmatch(text):
+            return self.ranked(text)
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> bytes:
         if self.ranked and _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return np.array(self.ranked(text), dtype="<u4").tobytes()
