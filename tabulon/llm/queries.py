@@ -102,14 +102,15 @@ w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x
 g AS (
   SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
   FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
-), f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL),
+), f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, f AS a, ws FROM f WHERE k >= 2 AND f >= 30),
-cuts AS (
-  SELECT c.lang, c.phrase, c.a, x.k, p.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (p.f + r.f) AS BIGINT) AS score
-  FROM c JOIN (SELECT unnest([1, 2, 3]) AS k) x ON x.k < c.k
-  JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:x.k], ' ')
-  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[x.k + 1:], ' ')
+parts AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS k FROM c),
+named AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS part, array_to_string(ws[k + 1:], ' ') AS rest FROM parts
+), cuts AS (
+  SELECT x.lang, x.phrase, x.a, x.k, y.f AS l, z.f AS r, CAST((2000000::HUGEINT * x.a) // (y.f + z.f) AS BIGINT) AS score
+  FROM named x JOIN f y ON y.lang = x.lang AND y.phrase = x.part JOIN f z ON z.lang = x.lang AND z.phrase = x.rest
 ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inside AS (
   SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase
