@@ -30,6 +30,8 @@ FIT_ROWS = 10_000
 LIFT, LEAST, SUPPORT, SIGNIFICANT = 8.0, 2, 0.01, 30.0
 STEMS, LONGEST = (4, 5, 6, 7), 24
 MOST_STATES = 50_000
+#: Words whose match a task remembers.
+MOST_WORDS = 600_000
 WINDOW_CHARS, NEAR_WORDS = 80, 25
 
 _WORD = re.compile(r"\w+")
@@ -55,10 +57,9 @@ class Automaton:
     edits of a node are kept. Transitions are found once and kept in a table.
     """
 
-    def __init__(self, lexicon: list[str], most: list[int] | None = None):
-        """``most``: how many edits each term forgives, by its length if not given."""
+    def __init__(self, lexicon: list[str]):
         self.lexicon = lexicon
-        self.most = list(map(edits, lexicon)) if most is None else most
+        self.most = list(map(edits, lexicon))
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
         self.allowed = [0]
@@ -176,29 +177,35 @@ FEATURES = ("exact", "misspelled", "quoted", "near", "density", "distinct")
 
 @dataclass
 class Model:
-    """lexicon with weights (log lift), how many edits each term forgives, and the regression's coefficients."""
+    """lexicon with weights (log lift) and the regression's coefficients."""
 
     lexicon: list[str]
     weight: np.ndarray
-    most: list[int] | None = None
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(len(FEATURES) + 1))
     _automaton: Automaton | None = None
+    _seen: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "weight": self.weight, "most": self.most, "coefficients": self.coefficients, "_automaton": None}
+        return {"lexicon": self.lexicon, "weight": self.weight, "coefficients": self.coefficients, "_automaton": None, "_seen": {}}
 
     @property
     def automaton(self) -> Automaton:
         if self._automaton is None:
-            self._automaton = Automaton(self.lexicon, self.most)
+            self._automaton = Automaton(self.lexicon)
         return self._automaton
 
+    def matches(self, words: set[str]) -> dict[str, int]:
+        """The words with a match; a worker walks the automaton once for each word it meets."""
+        if len(self._seen) > MOST_WORDS:
+            self._seen.clear()
+        new = sorted(words - self._seen.keys())
+        self._seen.update(zip(new, self.automaton.match(new).tolist(), strict=True))
+        return {w: found for w in words if (found := self._seen[w]) >= 0}
+
     def features(self, items: list[str]) -> np.ndarray:
         lower = [t.lower() for t in items]
         words = [_WORD.findall(t) for t in lower]
-        own = sorted({w for ws in words for w in ws if 3 < len(w) <= 2 * LONGEST})
-        got = self.automaton.match(own)
-        hit = {own[i]: int(got[i]) for i in np.flatnonzero(got >= 0)}
+        hit = self.matches({w for ws in words for w in ws if 3 < len(w) <= 2 * LONGEST})
         out = np.zeros((len(items), len(FEATURES)))
         for i, ws in enumerate(words):
             if hit and not hit.keys().isdisjoint(ws):
@@ -315,9 +322,7 @@ def train(rows: DataFrame) -> Model:
         return model
     found = telling(term_counts(rows), n1, n0).collect()  # the lexicon's candidates: what passes both tests
     lexicon, weights = choose({r.term: r.n1 for r in found}, {r.term: r.n0 for r in found}, n1, n0)
-    # a rare term counts as it stands: what is near it is too often another word
-    toxic = {r.term: r.n1 for r in found}
-    model = Model(lexicon, np.array(weights), [edits(t) if toxic[t] >= math.ceil(SUPPORT * n1) else 0 for t in lexicon])
+    model = Model(lexicon, np.array(weights))
     share = {k: min(1.0, FIT_ROWS / n[k]) for k in (0, 1)}
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     sample = rows.where(chance < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))

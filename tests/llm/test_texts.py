@@ -460,6 +460,56 @@ def test_quotation_weighs_less():
     assert quoted[names.index("quoted")] > 0 == quoted[names.index("exact")]
 
 
+def _features(model, text):
+    """A text's features by comparing each word with every term, without automaton or memory."""
+    n = toxicity.FEATURES
+    out, terms, last, places = dict.fromkeys(n, 0.0), set(), -(10**9), list(re.finditer(r"\w+", text.lower()))
+    hits = 0
+    for place, m in enumerate(places):
+        w = m.group()
+        if not 3 < len(w) <= 2 * toxicity.LONGEST:
+            continue
+        near = [(0 if t.endswith("*") else distance(w, t), i) for i, t in enumerate(model.lexicon) if (w.startswith(t[:-1]) if t.endswith("*") else abs(len(w) - len(t)) <= 2 and distance(w, t) <= toxicity.edits(t))]
+        if not near:
+            continue
+        e, t = min(near)
+        out["misspelled" if e else "exact"] += model.weight[t]
+        if not e:
+            out["near"] += place - last <= toxicity.NEAR_WORDS
+        terms.add(t)
+        hits, last = hits + 1, place
+    if hits:
+        out["density"], out["distinct"] = 1000 * hits / len(places), len(terms)
+    return [np.log1p(out[x]) for x in n]
+
+
+def test_toxicity_query_equals_brute_force_and_finds_misspelt_rare_terms(spark, docs_of):
+    rng = random.Random(11)
+    stock = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 9))) for _ in range(300)]
+    rare = ["scumbaggery", "wretchedly", "imbecilic", "degenerate", "vermin"]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        own = rng.choices(stock, k=12) + (["horrible"] if toxic and i % 2 else []) + ([rare[i // 30 % 5]] if toxic and i % 30 == 0 else [])
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    wrong = ["scumbagery", "wretchdly", "imbecillic", "degenerte", "vermn", "horible"]
+    planted = [(10_000 + i, " ".join([*rng.choices(stock, k=5), w])) for i, w in enumerate(wrong)]
+    docs, lab = docs_of(rows + planted), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(toxicity.training_rows(docs, lab))
+    n1 = sum(t for i, t in labels if mod(i, 5))
+    rarest = [w for w in rare if sum(w in t.split() for i, t in rows if mod(i, 5)) < 0.03 * n1]  # a rule by share would drop these
+    assert rarest and set(rare) <= {t.rstrip("*") for t in model.lexicon}
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, lab).collect()}
+    for i, t in rows[:150] + planted:
+        x = _features(model, t)
+        assert np.allclose(model.features([t])[0], x)
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.coefficients[0] + np.dot(x, model.coefficients[1:]))))) < 1e-9
+    found = [model.features([t])[0][toxicity.FEATURES.index("misspelled")] > 0 for _, t in planted]
+    assert sum(found) >= 0.9 * len(found)
+
+
 # --- language model
 
 def test_language_model_equals_brute_force(docs_of, sf):
