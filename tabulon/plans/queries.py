@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import function_queries, workbook_queries  # noqa: F401  (they register their own)
+    from . import function_queries, reference_queries, workbook_queries  # noqa: F401  (they register their own)
 
     return dict(_QUERIES)
 
@@ -220,11 +220,11 @@ def spill_filter(spark, d):
 
 
 def _customer_values(c):
-    from tabulon.operators.evaluate import evaluate
+    from tabulon.operators.recalc import recalculate
 
     inputs = F.array(F.col("c_acctbal").cast("string"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment"), F.lit("=ROUND(A1*2+SUM(A1:A2),2)"), F.lit('=IF(A1<0,"low",UPPER(LEFT(A3,3)))'))
     cells = c.select("c_custkey", F.lit("S").alias("sheet"), F.posexplode(inputs).alias("r", "input")).withColumn("c", F.lit(0))
-    out = evaluate(cells, "c_custkey")
+    out = recalculate(cells, "c_custkey")
     return out.groupBy("c_custkey").agg(F.max(F.when(F.col("r") == 3, F.col("n"))).alias("n"), F.max(F.when(F.col("r") == 4, F.col("s"))).alias("s"))
 
 
