@@ -19,7 +19,7 @@ def gathered(c, args) -> list[tuple[V.Value, Column, Column | None]]:
     for a in args:
         v = c.value(a)
         if v.referenced or any(isinstance(n, f.Header) for n in f.walk(a)):
-            out.append((v, v.col if v.kind == V.NUM else F.lit(None).cast("double"), v.err))
+            out.append((v, V.numbers_of(v), v.err))
         else:
             n = V.to_number(v)
             out.append((v, n.col, n.err))
@@ -155,8 +155,9 @@ def _count_numbers(c, args):
         for a in args:
             v = own.value(a)
             if v.referenced or any(isinstance(n, f.Header) for n in f.walk(a)):
-                good = v.col.isNotNull() if v.err is None else v.col.isNotNull() & v.err.isNull()
-                out = out + (F.count(F.when(good, 1)) if v.kind == V.NUM else F.lit(0.0))
+                number = V.numbers_of(v)
+                good = number.isNotNull() if v.err is None else number.isNotNull() & v.err.isNull()
+                out = out + (F.count(F.when(good, 1)) if v.kind in (V.NUM, V.MIXED) else F.lit(0.0))
             else:
                 n = V.to_number(v)
                 out = out + (F.lit(0.0 if v.kind == V.EMPTY else 1.0) if n.err is None else F.max(F.when(n.err.isNull(), 1.0).otherwise(0.0)))
@@ -171,7 +172,7 @@ def _counta(c, args):
         out = F.lit(0.0)
         for a in args:
             v = own.value(a)
-            filled = v.col.isNotNull() if v.err is None else v.col.isNotNull() | v.err.isNotNull()
+            filled = ~V.is_blank(v) if v.err is None else ~V.is_blank(v) | v.err.isNotNull()
             out = out + F.count(F.when(filled, 1))
         return V.Value(V.NUM, out.cast("double"))
 
@@ -271,7 +272,8 @@ def _sumproduct(c, args):
         product, errs = None, []
         for a in args:
             v = own.value(a)
-            n = F.coalesce(v.col, F.lit(0.0)) if v.kind == V.NUM else F.coalesce(v.col.cast("double"), F.lit(0.0)) if v.kind == V.BOOL else F.lit(0.0)
+            truth = v.col if v.kind == V.BOOL else v.col["b"] if v.kind == V.MIXED else F.lit(None).cast("boolean")
+            n = F.coalesce(V.numbers_of(v), truth.cast("double"), F.lit(0.0))
             product = n if product is None else product * n
             errs.append(v.err)
         err = V.first_error(*errs)

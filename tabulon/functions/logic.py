@@ -64,6 +64,11 @@ def _all_any(is_and: bool):
                 errs.append(v.err)
                 continue
             b = V.to_bool(v)
+            if v.referenced and v.kind == V.MIXED:  # cells that hold text don't count
+                aside = V.is_blank(v) | v.col["s"].isNotNull()
+                errs.append(v.err)
+                cols.append(F.when(aside, F.lit(is_and)).otherwise(b.col))
+                continue
             errs.append(b.err)
             cols.append(F.when(v.col.isNull(), F.lit(is_and)).otherwise(b.col) if v.referenced else b.col)
         if not cols:
@@ -117,10 +122,13 @@ def _good(v: V.Value):
 
 
 def _has(v: V.Value, *kinds: str):
+    if v.kind == V.MIXED:
+        own = [v.col[{V.NUM: "n", V.TEXT: "s", V.BOOL: "b"}[k]].isNotNull() for k in kinds]
+        return _good(v) & F.greatest(*own, F.lit(False))
     return (_good(v) & v.col.isNotNull()) if v.kind in kinds else F.lit(False)
 
 
-function("ISBLANK", 1)(_is(lambda v: _good(v) & v.col.isNull() if v.referenced else F.lit(False)))
+function("ISBLANK", 1)(_is(lambda v: _good(v) & V.is_blank(v) if v.referenced else F.lit(False)))
 function("ISNUMBER", 1)(_is(lambda v: _has(v, V.NUM)))
 function("ISTEXT", 1)(_is(lambda v: _has(v, V.TEXT)))
 function("ISLOGICAL", 1)(_is(lambda v: _has(v, V.BOOL)))

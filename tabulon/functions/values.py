@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUM, TEXT, BOOL, EMPTY = "num", "text", "bool", "empty"
+#: A cell of any kind: a struct of ``n``, ``s``, ``b`` (one of them, or none where it is empty).
+MIXED = "mixed"
 DIV0, VALUE, REF, NAME, NA, NUMERR, CALC = "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#N/A", "#NUM!", "#CALC!"
 
 #: Numbers as typed: decimal, exponent, one trailing percent sign.
@@ -98,8 +100,37 @@ def display_number(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(None)).when(whole, F.when(c == 0, F.lit("0")).otherwise(c.cast("decimal(16,0)").cast("string"))).when(usual, plain).otherwise(near.cast("string"))
 
 
+def of_cell(c: Column) -> Value:
+    """A struct ``n, s, b, err`` as a referenced value; a null struct is an empty cell."""
+    return Value(MIXED, c, c["err"], referenced=True)
+
+
+def mixed(v: Value) -> Value:
+    """The same value with its kind in the data."""
+    if v.kind == MIXED:
+        return v
+    own = {NUM: "n", TEXT: "s", BOOL: "b"}.get(v.kind)
+    null = {"n": "double", "s": "string", "b": "boolean"}
+    parts = [(v.col if name == own else F.lit(None).cast(kind)).alias(name) for name, kind in null.items()]
+    return Value(MIXED, F.struct(*parts), v.err, v.referenced)
+
+
+def is_blank(v: Value) -> Column:
+    """Whether a value is empty, errors aside."""
+    return v.col["n"].isNull() & v.col["s"].isNull() & v.col["b"].isNull() if v.kind == MIXED else v.col.isNull()
+
+
+def numbers_of(v: Value) -> Column:
+    """What a column gives to an aggregate: its numbers, null for the rest."""
+    return v.col if v.kind == NUM else v.col["n"] if v.kind == MIXED else F.lit(None).cast("double")
+
+
 def to_number(v: Value) -> Value:
     """Empty is 0, TRUE 1; text must read as a number, else #VALUE!."""
+    if v.kind == MIXED:
+        read = parse_number(v.col["s"])
+        unread = when_error(v.col["s"].isNotNull() & read.isNull(), VALUE)
+        return Value(NUM, F.coalesce(v.col["n"], v.col["b"].cast("double"), read, F.lit(0.0)), first_error(v.err, unread))
     if v.kind == NUM:
         return Value(NUM, F.coalesce(v.col, F.lit(0.0)) if v.referenced else v.col, v.err, literal=v.literal)
     if v.kind == EMPTY:
@@ -128,6 +159,9 @@ def parse_number(c: Column) -> Column:
 
 
 def to_text(v: Value) -> Value:
+    if v.kind == MIXED:
+        truth = F.when(v.col["b"], F.lit("TRUE")).when(~v.col["b"], F.lit("FALSE"))
+        return Value(TEXT, F.coalesce(v.col["s"], display_number(v.col["n"]), truth, F.lit("")), v.err)
     if v.kind == TEXT:
         return Value(TEXT, F.coalesce(v.col, F.lit("")) if v.referenced else v.col, v.err, literal=v.literal)
     if v.kind == EMPTY:
@@ -142,6 +176,10 @@ def to_text(v: Value) -> Value:
 
 
 def to_bool(v: Value) -> Value:
+    if v.kind == MIXED:
+        up = F.upper(v.col["s"])
+        unread = when_error(v.col["s"].isNotNull() & ~up.isin("TRUE", "FALSE"), VALUE)
+        return Value(BOOL, F.coalesce(v.col["b"], v.col["n"] != 0, up == "TRUE", F.lit(False)), first_error(v.err, unread))
     if v.kind == BOOL:
         return Value(BOOL, F.coalesce(v.col, F.lit(False)) if v.referenced else v.col, v.err)
     if v.kind == EMPTY:
@@ -167,9 +205,25 @@ def numbers_equal(a: Column, b: Column) -> Column:
 _RANK = {NUM: 0, TEXT: 1, BOOL: 2}
 
 
+def _compare_mixed(op: str, a: Value, b: Value, err: Column | None) -> Value:
+    x, y = mixed(a).col, mixed(b).col
+    rank = lambda m: F.when(m["n"].isNotNull(), 0).when(m["s"].isNotNull(), 1).when(m["b"].isNotNull(), 2)
+    own, other = F.coalesce(rank(x), rank(y), F.lit(0)), F.coalesce(rank(y), rank(x), F.lit(0))
+    zero = {"n": F.lit(0.0), "s": F.lit(""), "b": F.lit(False)}
+    part = lambda m, f: F.coalesce(F.lower(m[f]) if f == "s" else m[f], zero[f])
+    by = lambda test: F.when(own == 0, test("n")).when(own == 1, test("s")).otherwise(test("b"))
+    alike = by(lambda f: numbers_equal(part(x, f), part(y, f)) if f == "n" else part(x, f) == part(y, f))
+    same = (own == other) & alike
+    less = (own < other) | ((own == other) & by(lambda f: part(x, f) < part(y, f)) & ~alike)
+    more = ~same & ~less
+    return Value(BOOL, {"=": same, "<>": ~same, "<": less, "<=": less | same, ">": more, ">=": more | same}[op], err)
+
+
 def compare(op: str, a: Value, b: Value) -> Value:
     """Number < text < boolean; text without regard to case; empty as the other side's zero."""
     err = first_error(a.err, b.err)
+    if MIXED in (a.kind, b.kind):
+        return _compare_mixed(op, a, b, err)
     kinds = {a.kind, b.kind} - {EMPTY}
     if len(kinds) == 2:
         ra, rb = _RANK[a.kind], _RANK[b.kind]
@@ -195,6 +249,8 @@ def compare(op: str, a: Value, b: Value) -> Value:
 def unify(values: list[Value]) -> tuple[str, list[Column]]:
     """One kind for the branches of a condition: their own if they share it, else text."""
     kinds = {v.kind for v in values if v.kind != EMPTY}
+    if MIXED in kinds:
+        return MIXED, [F.struct(*[mixed(v).col[x].alias(x) for x in ("n", "s", "b")]) for v in values]
     if len(kinds) <= 1:
         kind = next(iter(kinds), NUM)
         null = {NUM: "double", TEXT: "string", BOOL: "boolean"}[kind]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.plans import formula as f
 
-from .evaluate import evaluate
+from .recalc import recalculate
 
 SCHEMA = "id string, formula string, expect string, source string, at string, given map<string,string>, known_difference boolean, functions array<string>, note string"
 _KIND = pa.schema([
@@ -55,7 +55,7 @@ def outcomes(cases: DataFrame) -> DataFrame:
     place = F.arrow_udf(_place, "struct<r: int, c: int>")
     cells = cases.select("id", F.explode(F.array_append(F.map_entries(F.coalesce("given", F.create_map().cast("map<string,string>"))), F.struct(F.col("at").alias("key"), F.col("formula").alias("value")))).alias("e"))
     cells = cells.select("id", F.lit("Sheet1").alias("sheet"), place("e.key").alias("p"), F.col("e.value").alias("input")).select("id", "sheet", "p.r", "p.c", "input")
-    shown = evaluate(cells.where("r is not null and c is not null"), "id").select("id", "r", "c", "display")
+    shown = recalculate(cells.where("r is not null and c is not null"), "id").select("id", "r", "c", "display")
     own = cases.withColumn("_p", place("at"))
     joined = own.join(shown, (own.id == shown.id) & (F.col("_p.r") == shown.r) & (F.col("_p.c") == shown.c), "left").drop(shown.id)
     got = F.coalesce("display", F.concat(F.lit("!bad address "), F.col("at")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulon.operators import augment, summary
-from tabulon.operators.evaluate import evaluate
+from tabulon.operators.recalc import recalculate
 from tabulon.operators.table import Table
 from tabulon.streaming import store
 
@@ -21,7 +21,7 @@ def _books(c):
 
 @query("""SELECT c_custkey AS workbook_id, 1 AS total, 'S!5:0 #DIV/0! =1/MAX(0,A1)' AS listed FROM customer WHERE c_acctbal <= 0""")
 def book_errors(spark, d):
-    out = summary.errors_by_book(evaluate(_books(_read(spark, d, "customer"))))
+    out = summary.errors_by_book(recalculate(_books(_read(spark, d, "customer"))))
     text = F.transform("errors", lambda e: F.concat(e["sheet"], F.lit("!"), e["r"].cast("string"), F.lit(":"), e["c"].cast("string"), F.lit(" "), e["code"], F.lit(" "), e["formula"]))
     return out.select("workbook_id", "total", F.array_join(text, ", ").alias("listed"))
 
