@@ -29,7 +29,7 @@ FIT_ROWS = 10_000
 #: or a log-likelihood ratio against the same rate in both kinds (30: one term in 20 million by chance).
 LIFT, LEAST, SUPPORT, SIGNIFICANT = 8.0, 2, 0.01, 30.0
 STEMS, LONGEST = (4, 5, 6, 7), 24
-MOST_STATES = 50_000
+MOST_STATES = 250_000
 #: Words whose match a task remembers.
 MOST_WORDS = 600_000
 WINDOW_CHARS, NEAR_WORDS = 80, 25
@@ -58,83 +58,104 @@ class Automaton:
     """
 
     def __init__(self, lexicon: list[str]):
-        self.lexicon = lexicon
-        self.most = list(map(edits, lexicon))
-        self.child: list[dict[str, int]] = [{}]
-        self.ends: list[list[int]] = [[]]
-        self.allowed = [0]
+        self.lexicon, n = lexicon, len(lexicon)
+        alphabet = sorted({c for term in lexicon for c in term.removesuffix("*")})
+        self.letters = len(alphabet) + 1  # class 0: any other character
+        self.classes = np.zeros(0x110000, dtype=np.uint8 if self.letters < 256 else np.uint16)
+        number = {c: i + 1 for i, c in enumerate(alphabet)}
+        for c, i in number.items():
+            self.classes[ord(c)] = i
+        child: list[dict[int, int]] = [{}]
+        self.none = n  # no term
+        allowed, ends, stars = [0], [[n, n, n]], [n]
         for t, term in enumerate(lexicon):
-            at = 0
-            self.allowed[0] = max(self.allowed[0], self.most[t])
+            most, at = edits(term), 0
+            allowed[0] = max(allowed[0], most)
             for c in term.removesuffix("*"):
-                if c not in self.child[at]:
-                    self.child[at][c] = len(self.child)
-                    self.child.append({})
-                    self.ends.append([])
-                    self.allowed.append(0)
-                at = self.child[at][c]
-                self.allowed[at] = max(self.allowed[at], self.most[t])
-            self.ends[at].append(t)
-        alphabet = sorted({c for term in lexicon for c in term.removesuffix("*")})
-        self.letters = ["", *alphabet]  # class 0: any other character
-        self.classes = np.zeros(0x110000, dtype=np.uint8 if len(self.letters) < 256 else np.uint16)
-        for i, c in enumerate(alphabet):
-            self.classes[ord(c)] = i + 1
+                if number[c] not in child[at]:
+                    child[at][number[c]] = len(child)
+                    child.append({})
+                    allowed.append(0)
+                    ends.append([n, n, n])
+                    stars.append(n)
+                at = child[at][number[c]]
+                allowed[at] = max(allowed[at], most)
+            for e in range(most + 1):
+                ends[at][e] = min(ends[at][e], t)
+            if term.endswith("*"):
+                stars[at] = min(stars[at], t)
+        self.allowed, self.stars = np.array(allowed), np.array(stars)
+        self.ends = np.array(ends)  # a node's first term, by edits so far
+        self.child_at = np.cumsum([0, *map(len, child)])
+        self.child_label = np.array([c for x in child for c in x], dtype=np.int64)
+        self.child_to = np.array([to for x in child for to in x.values()], dtype=np.int64)
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        self.table = np.full((1024, len(self.letters)), -1, dtype=np.int32)
+        self.states: list[bytes] = []  # (node * 4 + edits) in order, and the first beginning seen
+        self.number: dict[bytes, int] = {}
+        self.table = np.full((1024, self.letters), -1, dtype=np.int32)
         self.found = np.full(1024, -1, dtype=np.int32)  # term * 4 + edits, or -1
-        self._intern({}, -1)  # the dead state is 0
+        nothing = np.empty(0, np.int64)
+        self._intern(1, nothing, nothing, nothing, np.array([self.none]))  # the dead state is 0
         self.table[0] = 0
-        self.start = self._intern(self._skip({0: 0}), -1)
+        self.start = int(self._intern(1, *self._skip(np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)), np.array([self.none]))[0])
+
+    def _children(self, pair: np.ndarray, node: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = self.child_at[node + 1] - self.child_at[node]
+        at = np.repeat(self.child_at[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(pair, n), self.child_to[at], np.repeat(e, n), self.child_label[at]
 
-    def _skip(self, nodes: dict[int, int]) -> dict[int, int]:
+    def _least(self, pair: np.ndarray, node: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair's nodes that may have as many edits, in order, each with its least edits."""
+        fits = e <= self.allowed[node]
+        keys = np.sort((pair[fits] * len(self.allowed) + node[fits]) * 4 + e[fits])
+        keys = keys[np.concatenate([[True], keys[1:] >> 2 != keys[:-1] >> 2])] if len(keys) else keys
+        return (keys >> 2) // len(self.allowed), (keys >> 2) % len(self.allowed), keys & 3
+
+    def _skip(self, pair: np.ndarray, node: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Adds what leaving out letters of a term reaches."""
-        todo = list(nodes)
-        while todo:
-            n = todo.pop()
-            e = nodes[n] + 1
-            for c in self.child[n].values():
-                if e <= self.allowed[c] and e < nodes.get(c, 99):
-                    nodes[c] = e
-                    todo.append(c)
-        return nodes
-
-    def _intern(self, nodes: dict[int, int], stem: int) -> int:
-        key = (tuple(sorted(nodes.items())), stem)
-        if key in self.number:
-            return self.number[key]
-        i = self.number[key] = len(self.states)
-        self.states.append(key)
-        if i >= len(self.table):
-            self.table = np.vstack([self.table, np.full_like(self.table, -1)])
-            self.found = np.concatenate([self.found, np.full_like(self.found, -1)])
-        hits = [(e, t) for n, e in nodes.items() for t in self.ends[n] if e <= self.most[t] and not (self.lexicon[t].endswith("*") and e)]
-        if stem >= 0:
-            hits.append((0, stem))
-        if hits:
-            e, t = min(hits)
-            self.found[i] = t * 4 + e
-        return i
-
-    def _step(self, state: int, letter: int) -> int:
-        (nodes, stem), c = self.states[state], self.letters[letter]
-        out: dict[int, int] = {}
-
-        def reach(n: int, e: int) -> None:
-            if e <= self.allowed[n] and e < out.get(n, 99):
-                out[n] = e
-
-        for n, e in nodes:
-            reach(n, e + 1)  # a letter too many
-            for label, to in self.child[n].items():
-                reach(to, e if label == c else e + 1)
-        out = self._skip(out)
-        stems = [t for n, e in out.items() if e == 0 for t in self.ends[n] if self.lexicon[t].endswith("*")]
-        return self._intern(out, min([t for t in (stem, *stems) if t >= 0], default=-1))
+        for _ in range(int(self.allowed[0])):
+            p, to, d, _label = self._children(pair, node, e)
+            pair, node, e = self._least(np.concatenate([pair, p]), np.concatenate([node, to]), np.concatenate([e, d + 1]))
+        return pair, node, e
+
+    def _intern(self, k: int, pair: np.ndarray, node: np.ndarray, e: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """The numbers of ``k`` states; new ones get their best match."""
+        size = self.none + 1
+        best = np.where(stem < self.none, stem, 3 * size)
+        end = self.ends[node, e]
+        some = end < self.none
+        np.minimum.at(best, pair[some], e[some] * size + end[some])
+        cut = np.searchsorted(pair, np.arange(k + 1)) * 4
+        packed, stems = (node * 4 + e).astype("<i4").tobytes(), stem.astype("<i4").tobytes()
+        out = np.empty(k, np.int32)
+        for i in range(k):
+            key = packed[cut[i] : cut[i + 1]] + stems[4 * i : 4 * i + 4]
+            own = self.number.get(key)
+            if own is None:
+                own = self.number[key] = len(self.states)
+                self.states.append(key)
+                if own >= len(self.table):
+                    self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+                    self.found = np.concatenate([self.found, np.full_like(self.found, -1)])
+                if best[i] < 3 * size:
+                    self.found[own] = best[i] % size * 4 + best[i] // size
+            out[i] = own
+        return out
+
+    def _steps(self, states: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Where each state leads with each letter."""
+        own = [self.states[s] for s in states.tolist()]
+        stem = np.frombuffer(b"".join(x[-4:] for x in own), "<i4").astype(np.int64)
+        flat = np.frombuffer(b"".join(x[:-4] for x in own), "<i4").astype(np.int64)
+        pair, node, e = np.repeat(np.arange(len(own)), [len(x) // 4 - 1 for x in own]), flat >> 2, flat & 3
+        p, to, d, label = self._children(pair, node, e)
+        # a letter too many; a letter that is the term's or another
+        reached = self._least(np.concatenate([pair, p]), np.concatenate([node, to]), np.concatenate([e + 1, d + (label != letters[p])]))
+        pair, node, e = self._skip(*reached)
+        np.minimum.at(stem, pair[e == 0], self.stars[node[e == 0]])
+        return self._intern(len(own), pair, node, e, stem)
 
     def match(self, words: list[str]) -> np.ndarray:
         """For each word term * 4 + edits of its best match, or -1."""
@@ -161,9 +182,11 @@ class Automaton:
             to = self.table[s, c]
             new = to < 0
             if new.any():
-                for pair in np.unique(s[new] * len(self.letters) + c[new]).tolist():
-                    a, b = divmod(pair, len(self.letters))
-                    self.table[a, b] = target if (target := self._step(a, b)) < len(self.table) else 0
+                asked = np.unique(s[new] * self.letters + c[new])
+                for i in range(0, len(asked), 4096):
+                    a, b = np.divmod(asked[i : i + 4096], self.letters)
+                    to = self._steps(a, b)
+                    self.table[a, b] = to
                 to = self.table[s, c]
             state[live] = to
             live = live[to > 0]
