@@ -45,6 +45,11 @@ def squeeze(ids: np.ndarray) -> np.ndarray:
     return ids[some | np.concatenate([[True], some[:-1]])] if len(ids) else ids
 
 
+def _summed(counts: DataFrame, *keys: str) -> DataFrame:
+    """Sums of ``n``. Tasks have added up already and hand on keys in order, which packs far better than what a hash table gives."""
+    return counts.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, n``: occurrences of all words in each language; tasks add up first."""
 
@@ -54,7 +59,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for lang, c in seen.items():
                 del c[b"."]
-                columns = [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())]
+                words = sorted(c)
+                columns = [pa.array([lang] * len(c), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array([c[w] for w in words], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
             seen.clear()
 
@@ -65,7 +71,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return _summed(docs.mapInArrow(run, "lang string, word string, n long"), "lang", "word")
 
 
 def _named(counts: DataFrame, level: int) -> DataFrame:
@@ -168,7 +174,7 @@ def pair_counts(sequences: DataFrame) -> DataFrame:
         if held:
             yield count(held)
 
-    return sequences.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return _summed(sequences.mapInArrow(run, "left long, right long, n long"), "left", "right")
 
 
 class PairTable:
@@ -216,62 +222,78 @@ def renamed(sequences: DataFrame, names: DataFrame, most: int = HEAD_PAIRS) -> D
     return _placed(found, rare, ["left", "right"])
 
 
-def frequent_phrases(docs: DataFrame, least: int, widest: int, heads: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Phrases of 2 to ``widest`` words with ``least`` occurrences or more, and each language's number of words.
+def frequent_phrases(docs: DataFrame, least: int, widest: int, heads: tuple[int, int]) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Phrases of 2 to ``widest`` words that stand ``least`` times or more, the names of each level, and each language's number of words.
 
-    A phrase has ``id, lang, phrase, a``; pre and suf: the counts of its first 1, 2, ... words
-    and of what follows these; inside: the ids of the shorter phrases in it.
+    Names have ``id, left, right, n`` (words ``id, lang, word, n``). A phrase has ``id, lang, a``;
+    pre and suf: the counts of its first 1, 2, ... words and of what follows these; subs: the
+    shorter phrases in it, each with its count.
     """
     docs = pick(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = materialise(word_counts(docs), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    names = _named(words.where(F.col("n") >= least), 1)
-    sequences = encoded(docs, names, heads[0])
-    none = F.array().cast("array<long>")
-    level = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.col("n").alias("a"), none.alias("pre"), none.alias("suf"), none.alias("inside"))
+    names = [_named(words.where(F.col("n") >= least), 1)]
+    sequences = encoded(docs, names[0], heads[0])
+    none, no_subs = F.array().cast("array<long>"), F.array().cast("array<struct<id: long, a: long>>")
+    level = names[0].select("id", "lang", F.col("n").alias("a"), none.alias("pre"), none.alias("suf"), no_subs.alias("subs"))
     out = []
     for k in range(2, widest + 1):
-        names = _named(pair_counts(sequences).where(F.col("n") >= least), k)
+        names.append(_named(pair_counts(sequences).where(F.col("n") >= least), k))
         if k < widest:
-            following = renamed(sequences, names, heads[1])
+            following = renamed(sequences, names[-1], heads[1])
             discard(sequences)
             sequences = following
-        left = level.select(F.col("id").alias("left"), "lang", "phrase", "pre", F.col("a").alias("left_a"), F.col("inside").alias("left_in"))
-        right = level.select(F.col("id").alias("right"), "last", "suf", F.col("a").alias("right_a"), F.col("inside").alias("right_in"))
-        parents = F.array("left", "right") if k > 2 else none
-        level = names.join(left, "left").join(right, "right").select(
+        left = level.select(F.col("id").alias("left"), "lang", "pre", F.col("a").alias("left_a"), F.col("subs").alias("left_in"))
+        right = level.select(F.col("id").alias("right"), "suf", F.col("a").alias("right_a"), F.col("subs").alias("right_in"))
+        parents = F.array(*[F.struct(F.col(s).alias("id"), F.col(f"{s}_a").alias("a")) for s in ("left", "right")]) if k > 2 else no_subs
+        level = names[-1].join(left, "left").join(right, "right").select(
             "id",
             "lang",
-            F.concat_ws(" ", "phrase", "last").alias("phrase"),
-            "last",
             F.col("n").alias("a"),
             F.concat("pre", F.array("left_a")).alias("pre"),
             F.concat(F.array("right_a"), "suf").alias("suf"),
-            F.array_distinct(F.concat(parents, "left_in", "right_in")).alias("inside"),
+            F.array_distinct(F.concat("left_in", "right_in", parents)).alias("subs"),
         )
         level = materialise(level, f"phrases-{k}")
         out.append(level)
     discard(sequences)
-    phrases = out[0]
-    for more in out[1:]:
-        phrases = phrases.unionByName(more)
-    return phrases, totals
+    return out, names, totals
 
 
-def ranked(rows: DataFrame, top: int) -> DataFrame:
-    """``rows`` (lang, score, a, phrase, ...) of each language's first ``top``, with their rank from 1.
+def spelled(rows: DataFrame, names: list[DataFrame], most: int = 100_000) -> DataFrame:
+    """``rows`` (id, k, ...) with ``phrase``: a phrase's names are followed to its words, all rows a level at a time.
+
+    Up to ``most`` rows are broadcast to the names; more are joined by a shuffle.
+    """
+    few = rows.count() <= most
+    at = rows.select("id", "k", F.lit(0).alias("at"), F.col("id").alias("own"))
+    found = None
+    for k in range(len(names), 1, -1):
+        here = at.where(F.col("k") == k).select("own", "at", "id")
+        here = here if found is None else here.unionByName(found)
+        met = names[k - 1].select("id", "left", "right").join(F.broadcast(here) if few else here, "id")
+        parts = F.explode(F.array(F.struct(F.col("at"), F.col("left").alias("id")), F.struct((F.col("at") + 1).alias("at"), F.col("right").alias("id"))))
+        found = met.select("own", parts.alias("x")).select("own", "x.at", "x.id").distinct()
+    words = names[0].select("id", "word").join(F.broadcast(found) if few else found, "id").groupBy("own").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("ws"))
+    texts = words.select(F.col("own").alias("id"), F.array_join(F.transform("ws", lambda w: w["word"]), " ").alias("phrase"))
+    return rows.join(texts, "id")
+
+
+def ranked(rows: DataFrame, columns: list[str], top: int) -> DataFrame:
+    """Rows of each language's first ``top``, with their rank from 1: by ``columns``, numbers descending and texts ascending.
 
     Rows are dealt by ranges of the whole order, so a language that holds most of them is
     spread over tasks; a row's rank is its place in its range and what earlier ranges hold.
     """
-    order = [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    kinds = dict(rows.dtypes)
+    order = [F.col("lang"), *[F.col(c) if kinds[c] == "string" else F.col(c).desc() for c in columns]]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     placed = materialise(placed, "ranges").withColumn("part", F.shiftright("place", 33))
     held = placed.groupBy("lang", "part").agg(F.count("*").alias("rows"), F.min("place").alias("first"))
     before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     held = held.select("lang", "part", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
     rank = F.col("place") - F.col("first") + F.col("before") + 1
-    return placed.join(held.where(F.col("before") < top), ["lang", "part"]).withColumn("rank", rank).where(F.col("rank") <= top)
+    return placed.join(held.where(F.col("before") < top), ["lang", "part"]).withColumn("rank", rank).where(F.col("rank") <= top).drop("place", "part", "first", "before")
 
 
 def collocations(docs: DataFrame, least: int = 30, widest: int = 4, covered: int = 80, top: int = 2000, heads: tuple[int, int] = (HEAD_WORDS, HEAD_PAIRS)) -> DataFrame:
@@ -289,12 +311,21 @@ def collocations(docs: DataFrame, least: int = 30, widest: int = 4, covered: int
     columns play no part; an empty table gives no rows. Counts are exact, and products are
     decimals. ``heads``: how many names of words and pairs are broadcast; the rest is joined.
     """
-    phrases, totals = frequent_phrases(docs, least, widest, heads)
     wide = lambda c: c.cast("decimal(20,0)")
     score = lambda l, r: F.call_function("div", wide(F.col("a")) * F.lit(SCALE).cast("decimal(7,0)"), wide(l) + wide(r))
+    levels, names, totals = frequent_phrases(docs, least, widest, heads)
+    phrases, longer = None, None
+    for k, level in enumerate(levels, 2):
+        level = level.withColumn("k", F.lit(k))
+        own = level.select("a", F.explode("subs").alias("x")).where(wide(F.col("a")) * 100 >= wide(F.col("x.a")) * covered).select("x.id")
+        phrases = level if phrases is None else phrases.unionByName(level)
+        longer = own if longer is None else longer.unionByName(own)
     cut = F.transform("pre", lambda l, i: F.struct(score(l, F.get("suf", i)).alias("score"), i.alias("k"), l.alias("l"), F.get("suf", i).alias("r")))
-    longer = phrases.select(F.explode("inside").alias("id"), F.col("a").alias("longer")).groupBy("id").agg(F.max("longer").alias("longer"))
-    kept = phrases.join(longer, "id", "left").where(F.col("longer").isNull() | (wide(F.col("longer")) * 100 < wide(F.col("a")) * covered))
-    rated = kept.select("lang", "phrase", "a", F.array_min(cut).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    best = ranked(rated, top).join(totals, "lang")
+    kept = phrases.join(longer.distinct(), "id", "left_anti").select("id", "k", "lang", "a", F.array_min(cut).alias("cut"))
+    rated = kept.select("id", "k", "lang", "a", "cut.l", "cut.r", F.col("cut.score").alias("score"))
+    # the first by score and count, with all that tie with the last of them; only these are spelled
+    rated = materialise(rated, "rated")
+    ends = ranked(rated, ["score", "a"], top).where(F.col("rank") == top).select("lang", F.struct("score", "a").alias("end"))
+    first = rated.join(ends, "lang", "left").where(F.col("end").isNull() | (F.struct("score", "a") >= F.col("end"))).drop("end")
+    best = ranked(spelled(materialise(first, "first"), names), ["score", "a", "phrase"], top).join(totals, "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), F.col("score").cast("long").alias("score"))
