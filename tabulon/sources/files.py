@@ -53,9 +53,9 @@ def read_csv_cells(spark: SparkSession, path: str, sheet: str = "Sheet1") -> Dat
     return files.mapInArrow(run, CELLS + ", quarantined boolean")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "sheet", "r", "c", "input", "quarantined"])
+def _rows(rows: list[tuple], last: str = "quarantined") -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_() if last == "quarantined" else pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "sheet", "r", "c", "input", last])
 
 
 def write_csv_cells(cells: DataFrame, path: str, columns: int) -> None:
@@ -112,21 +112,30 @@ def _typed_text(s: str) -> str:
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of workbook files; a file is a unit, sheets are read in turn."""
+    """Cells of workbook files; a file is a unit, sheets are read in turn. A file that can't be read gives one row, with an ``error``."""
+
+    return workbooks(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def workbooks(packages: DataFrame) -> DataFrame:
+    """:func:`read_workbooks` of packages in a table (``path, content``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for sheet, r, c, text in workbook_cells(data):
-                    rows.append((name, sheet, r, c, text, False))
-                    if len(rows) > 50_000:
-                        yield _rows(rows)
-                        rows = []
+                try:
+                    for sheet, r, c, text in workbook_cells(data):
+                        rows.append((name, sheet, r, c, text, None))
+                        if len(rows) > 50_000:
+                            yield _rows(rows, "error")
+                            rows = []
+                except Exception as e:  # whatever a damaged package raises is its row
+                    rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
                 if rows:
-                    yield _rows(rows)
+                    yield _rows(rows, "error")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CELLS + ", quarantined boolean").drop("quarantined")
+    return packages.select("path", "content").mapInArrow(run, CELLS + ", error string")
 
 
 def workbook_bytes(sheets: dict[str, dict[tuple[int, int], str]]) -> bytes:
