@@ -229,6 +229,14 @@ def sequence_rows(spark, rows: int, columns: int = 1, start: float = 1, step: fl
     return spark.range(rows * columns).select(F.floor(i / columns).cast("long").alias("r"), F.pmod(i, F.lit(columns)).alias("c"), (F.lit(float(start)) + i * F.lit(float(step))).alias("value"))
 
 
+def sequences(df: DataFrame, keep: Sequence[str], rows: Column, columns: Column, start: Column, step: Column) -> DataFrame:
+    """SEQUENCE for every row of a table: ``keep, r, c, value``, as many lines and columns as the row asks for; none where either is below 1 or missing."""
+    n, w = F.floor(rows).cast("long"), F.floor(columns).cast("long")
+    own = df.select(*keep, w.alias("_w"), start.cast("double").alias("_start"), step.cast("double").alias("_step"), F.when((n >= 1) & (w >= 1), n * w).alias("_n"))
+    each = own.where(F.col("_n").isNotNull()).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"))
+    return each.select(*keep, F.expr("_i div _w").alias("r"), F.expr("_i % _w").alias("c"), (F.col("_start") + F.col("_i") * F.col("_step")).alias("value"))
+
+
 def text_split(df: DataFrame, column: str, delimiters: Sequence[str], keep: Sequence[str] = (), ignore_empty: bool = False) -> DataFrame:
     """TEXTSPLIT by columns: ``keep, pos, piece``; of several delimiters the longest counts first."""
     import re

@@ -87,12 +87,51 @@ def workdays_ahead(spark, d):
     return Table(_read(spark, d, "orders")).derive(due="WORKDAY({o_orderdate},10)").frame.select("o_orderkey", "due")
 
 
-@query("""SELECT s_suppkey, true AS unit, true AS dice FROM supplier""")
+def _mixed(x: str) -> str:
+    """One step of splitmix64 in SQL, over unsigned integers of 64 bits."""
+    wrap = lambda v: f"CAST(({v}) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    z = wrap(f"({x})::UHUGEINT + 11400714819323198485::UHUGEINT")
+    z = wrap(f"xor({z}, {z} >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT")
+    z = wrap(f"xor({z}, {z} >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT")
+    return f"xor({z}, {z} >> 31)"
+
+
+_DRAW = lambda salt: f"CAST({_mixed(f'xor({NOON_MS}::UBIGINT, {salt})')} >> 11 AS DOUBLE) / 9007199254740992.0"
+
+
+@query(f"""WITH r AS MATERIALIZED (SELECT {_DRAW("0::UBIGINT")} AS unit, {_DRAW(f"xor({_mixed('1::UBIGINT')}, 6::UBIGINT)")} AS dice)
+          SELECT s_suppkey, unit * s_suppkey AS unit, 1 + floor(dice * 6) AS dice FROM supplier, r""")
 def random_functions(spark, d):
-    t = Table(_read(spark, d, "supplier")).derive(unit="LET(x,RAND(),AND(x>=0,x<1))", dice="LET(x,RANDBETWEEN(1,6),AND(x>=1,x<=6,x=INT(x)))")
+    t = Table(_read(spark, d, "supplier"), now_ms=NOON_MS).derive(unit="RAND()*{s_suppkey}", dice="RANDBETWEEN(1,6)")
     return t.frame.select("s_suppkey", "unit", "dice")
 
 
+# --- positions and places
+
+
+@query("""SELECT c_custkey, CAST(c_custkey + 1 AS DOUBLE) AS row, CAST(4.0 AS DOUBLE) AS place, CAST((SELECT count(*) FROM (DESCRIBE nation)) AS DOUBLE) AS width,
+                 (SELECT n_name FROM nation WHERE n_nationkey = 3) AS third, n_name AS near
+          FROM customer ASOF LEFT JOIN nation ON c_acctbal / 100 >= n_nationkey""")
+def position_functions(spark, d):
+    nation = Table(_read(spark, d, "nation"), position="n_nationkey")
+    t = Table(_read(spark, d, "customer"), position="c_custkey", tables={"Nation": nation}).derive(
+        row="ROW()", place="COLUMN({c_acctbal})", width="COLUMNS(Nation)", third="INDEX(Nation.n_name,4)", near="LOOKUP({c_acctbal}/100,Nation.n_nationkey,Nation.n_name)",
+    )
+    return t.frame.select("c_custkey", "row", "place", "width", "third", "near")
+
+
+@query("""SELECT CAST(p_size AS BIGINT) AS a0 FROM part""")
+def sort_sizes(spark, d):
+    out = Table(_read(spark, d, "part"), position="p_partkey").spill("SORT({p_size},1,-1)")
+    return out.select(F.col("a0").cast("long").alias("a0"))
+
+
+@query("""SELECT 0 AS r, CAST(p_partkey AS BIGINT) AS c, CAST(p_size * 2 AS DOUBLE) AS value FROM part""")
+def transposed_sizes(spark, d):
+    out = Table(_read(spark, d, "part"), position="p_partkey").spill("TRANSPOSE({p_size}*2)")
+    return out.select("r", F.col("c").cast("long").alias("c"), F.col("value").cast("double").alias("value"))
+
+
 # --- finance
 
 

@@ -256,9 +256,12 @@ def filter_rows(spark, d):
     return Table(_read(spark, d, "lineitem")).where("AND({l_quantity}>45,{l_discount}<2%)").frame.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""SELECT CAST(i // 4 AS BIGINT) AS r, CAST(i % 4 AS BIGINT) AS c, CAST(10 + i * 0.5 AS DOUBLE) AS value FROM (SELECT unnest(range(200)) AS i)""")
+@query("""SELECT p_partkey, CAST(i // 2 AS BIGINT) AS r, CAST(i % 2 AS BIGINT) AS c, CAST(p_retailprice + i * 0.5 AS DOUBLE) AS value
+          FROM (SELECT p_partkey, p_retailprice, unnest(range(2 * (1 + p_size % 4))) AS i FROM part)""")
 def sequence_rows(spark, d):
-    return table.sequence_rows(spark, 50, 4, 10, 0.5).withColumn("value", F.col("value").cast("double"))
+    p = _read(spark, d, "part")
+    out = table.sequences(p, ["p_partkey"], 1 + F.col("p_size") % 4, F.lit(2), F.col("p_retailprice"), F.lit(0.5))
+    return out.select("p_partkey", "r", "c", "value")
 
 
 @query("""SELECT o_orderkey, CAST(5 + 2.5 * o_orderkey AS DOUBLE) AS series, [1.0, 4.0, 2.0][1 + o_orderkey % 3]::DOUBLE AS cycle FROM orders""")

@@ -53,8 +53,9 @@ def first_of(events: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def new_events(batch: DataFrame, table: DataFrame, key: str = "event_id") -> DataFrame:
-    """A batch's events that the table doesn't have, one of each id."""
-    return batch.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+    """A batch's events that the table doesn't have, the first of each id as the batch has them."""
+    arrived = first_of(batch.withColumn("_arrived", F.monotonically_increasing_id()), key, "_arrived").drop("_arrived")
+    return arrived.join(table.select(key), key, "left_anti")
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, consents_path: str, actions: list[str], trigger: dict | None = None):

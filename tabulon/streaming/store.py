@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .events import MODES
@@ -34,11 +34,12 @@ def record_consents(history: DataFrame, choices: DataFrame) -> DataFrame:
     Choosing ``off`` withdraws: it revokes what the actor had granted before and itself. A choice of an unknown mode is left out.
     """
     new = choices.where(F.col("mode").isin(*MODES)).select("id", "actor_id", "mode", "at", F.lit(None).cast("string").alias("revoked_at"))
-    off = new.where("mode = 'off'").select(F.col("actor_id").alias("_actor"), F.col("id").alias("_id"), F.col("at").alias("_at"))
     both = history.select(*new.columns).unionByName(new)
-    revoking = both.join(off, (F.col("actor_id") == F.col("_actor")) & (F.col("id") <= F.col("_id")), "left")
-    first = revoking.groupBy("id", "actor_id", "mode", "at", "revoked_at").agg(F.min_by("_at", "_id").alias("_at"))
-    return first.select("id", "actor_id", "mode", "at", F.coalesce("revoked_at", "_at").alias("revoked_at"))
+    # from an actor's last choice back: the nearest withdrawal at or after each
+    back = Window.partitionBy("actor_id").orderBy(F.col("id").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh = both.join(new.where("mode = 'off'").select("id").distinct().withColumn("_new", F.lit(True)), "id", "left")
+    at = F.last(F.when(F.col("_new") & (F.col("mode") == "off"), F.col("at")), ignorenulls=True).over(back)
+    return fresh.select("id", "actor_id", "mode", "at", F.coalesce("revoked_at", at).alias("revoked_at"))
 
 
 def upsert_routines(stored: DataFrame, mined: DataFrame, books: DataFrame) -> DataFrame:
@@ -60,7 +61,10 @@ def upsert_routines(stored: DataFrame, mined: DataFrame, books: DataFrame) -> Da
 
 
 def write_dataset(records: DataFrame, path: str, schema: str, consent_checked: bool) -> None:
-    """JSON Lines by session under ``path``/records, and ``path``/manifest: schema, whether consent was checked, records in each session."""
-    records.repartition("session_id").sortWithinPartitions("session_id", "seq").write.partitionBy("session_id").mode("overwrite").json(f"{path}/records")
+    """JSON Lines under ``path``/records, and ``path``/manifest: schema, whether consent was checked, records in each session.
+
+    A session lies in one file, in order; a file holds many sessions, as many as Spark's shuffle partitions deal to it.
+    """
+    records.repartition("session_id").sortWithinPartitions("session_id", "seq").write.mode("overwrite").json(f"{path}/records")
     counts = records.groupBy("session_id").agg(F.count("*").alias("records"))
     counts.select(F.lit(schema).alias("schema"), F.lit(consent_checked).alias("consent_checked"), "session_id", "records").write.mode("overwrite").json(f"{path}/manifest")
