@@ -13,18 +13,21 @@ those is common, so no key of that shuffle is hot.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, head_bound, materialise, pick, slices
 
 #: Names that are broadcast: of words, of pairs.
 HEAD_WORDS, HEAD_PAIRS = 1 << 17, 1 << 19
+#: Bits of the filter of all other names, whatever their number: it spares joins, it decides nothing.
+FILTER_BITS = 1 << 26
 #: Counts, and places of sequences, that a task holds before it hands on.
 HOLD_COUNTS, HOLD_PLACES = 400_000, 2_000_000
 #: A score is this many times the harmonic-like share a / (l + r).
@@ -46,8 +49,25 @@ def squeeze(ids: np.ndarray) -> np.ndarray:
 
 
 def _summed(counts: DataFrame, *keys: str) -> DataFrame:
-    """Sums of ``n``. Tasks have added up already and hand on keys in order, which packs far better than what a hash table gives."""
-    return counts.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"))
+    """Sums of ``n``; tasks add up before they hand on."""
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _pair_place(left, right):
+    """A pair's bit of the filter, as numpy arrays or columns alike; no step passes 63 bits."""
+    return (left % 2_147_483_647) * 1_000_003 + (right % 2_147_483_629) * 998_244_353
+
+
+def _filter(rare: DataFrame | None, place: Column) -> np.ndarray | None:
+    """Which bits of FILTER_BITS the names that aren't broadcast take: what has none of them needs no join."""
+    if rare is None:
+        return None
+    at = rare.select(F.pmod(place, F.lit(FILTER_BITS)).alias("at"))
+    parts = at.groupBy(F.floor(F.col("at") / 32_768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32_768).alias("bits")).collect()  # 4 KB each
+    out = np.zeros((FILTER_BITS // 32_768, 4096), np.uint8)
+    for r in parts:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -86,13 +106,19 @@ def _split(names: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     return names.where(F.col("n") >= bound), None if rare.isEmpty() else rare
 
 
+def _set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    at = places % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
     """``ids``: sequences of the ids of frequent words, zero where a piece ends or another word stands."""
     head, rare = _split(names, most)
     own: dict[str, dict[bytes, int]] = defaultdict(dict)
     for r in head.select("lang", "word", "id").toLocalIterator():  # ``most`` rows at most
         own[r.lang][r.word.encode()] = r.id
-    shared = docs.sparkSession.sparkContext.broadcast(dict(own))
+    bits = _filter(rare, F.crc32(F.concat("lang", F.lit("\0"), "word").cast("binary")))
+    shared = docs.sparkSession.sparkContext.broadcast((dict(own), bits))
     rest_too = rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +128,12 @@ def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS) -> DataFr
                 by_lang[lang] += tokens(text)
                 by_lang[lang].append(b".")
             for lang, words in by_lang.items():
-                known = shared.value.get(lang, {})
+                known, rest = shared.value[0].get(lang, {}), []
                 ids = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
-                rest = [{"at": i, "lang": lang, "word": words[i].decode()} for i in np.flatnonzero(ids == 0).tolist() if words[i] != b"."] if rest_too else []
+                if rest_too:
+                    at, start = np.flatnonzero(ids == 0), zlib.crc32(lang.encode() + b"\0")
+                    places = np.fromiter((zlib.crc32(words[i], start) for i in at.tolist()), np.int64, len(at))
+                    rest = [{"at": i, "lang": lang, "word": words[i].decode()} for i in at[_set(shared.value[1], places)].tolist() if words[i] != b"."]
                 yield _sequence(ids if rest_too else squeeze(ids), rest, "struct<at:int,lang:string,word:string>")
 
     found = docs.mapInArrow(run, "ids array<long>, rest array<struct<at:int,lang:string,word:string>>")
@@ -204,15 +233,19 @@ def renamed(sequences: DataFrame, names: DataFrame, most: int = HEAD_PAIRS) -> D
     """``ids``: the next level's sequences, in which the id of a frequent pair stands for its left one; zero for other pairs."""
     head, rare = _split(names, most)
     got = head.select("left", "right", "id").toArrow()  # ``most`` rows at most
-    shared = sequences.sparkSession.sparkContext.broadcast(tuple(got.column(c).to_numpy() for c in ("left", "right", "id")))
+    place = _pair_place(F.col("left"), F.col("right"))
+    bits = _filter(rare, place.bitwiseXOR(F.shiftright(place, 29)))
+    shared = sequences.sparkSession.sparkContext.broadcast((tuple(got.column(c).to_numpy() for c in ("left", "right", "id")), bits))
     rest_too = rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PairTable(*shared.value)
+        table = PairTable(*shared.value[0])
         for ids in _arrays(batches):
             new = table.find(ids)
             if rest_too:
                 at = np.flatnonzero((new == 0) & (ids[:-1] != 0) & (ids[1:] != 0))
+                places = _pair_place(ids[at], ids[at + 1])
+                at = at[_set(shared.value[1], places ^ (places >> 29))]
                 columns = [pa.array(at.astype(np.int32)), pa.array(ids[at]), pa.array(ids[at + 1])]
                 yield _sequence(new, pa.StructArray.from_arrays(columns, ["at", "left", "right"]), "")
             else:
