@@ -14,31 +14,53 @@ from tabulon.llm.common import by_position, scratch_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5; learned from the labels of the documents at hand."""
-    score = toxicity.scorer(docs, toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
+    """Documents whose toxicity score is below 0.5; learned from the labels of the documents at hand.
+
+    All stay where no term was learned, for then every text has one score. Null and empty texts
+    score as texts without a hit; null ids have no label; repeated rows stay or go alike. An
+    empty table stays empty; columns keep their names and order, clashing ones too.
+    """
+    model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    if not model.lexicon:
+        return docs
+    score = toxicity.scorer(docs, model)
     plain, at, names = by_position(docs)
     return plain.where(score(F.col(at["text"])) < 0.5).toDF(*names)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told: with a letter, and enough windows that a learned language knows. All stay where nothing was learned."""
+    """Documents in a language that can be told: with a letter, and enough windows that a learned language knows.
+
+    All stay where nothing was learned. Null, empty and letterless texts go; long texts are
+    judged whole; repeated rows stay or go alike; ids play no part but in what is learned from.
+    An empty table stays empty; columns keep their names and order, clashing ones too.
+    """
     told = langid.teller(docs, langid.train(langid.training_rows(docs)))
     plain, at, names = by_position(docs)
     return plain.where(told(F.col(at["text"]))).toDF(*names)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest doc_id.
+
+    Of equal ids one row of the group stays; rows are judged by their own text, so null and
+    repeated ids with other texts stay. Null and empty texts are handled by ``simhash.keep_one``.
+    An empty table stays empty; columns keep their names and order, clashing ones too.
+    """
     return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; rows are judged by their own text, whatever their
+    id; repeated rows stay or go alike. An empty table, of documents or items, changes nothing.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens; a null text is empty (its end token alone), repeated rows are packed each."""
     return packing.pack(docs, size=1024)
 
 
