@@ -105,3 +105,12 @@ def test_language_stage_rejects_what_no_language_knows(spark, docs_of, sf):
     assert got == {r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
     unlabelled = [(i, t, None) for i, t, _ in rows + odd]
     assert ids(corpus_pipeline.drop_unidentified(spark, docs_of(unlabelled), SF)) == {r[0] for r in unlabelled}
+
+
+def test_nothing_learned_keeps_all(spark, docs_of, tmp_path):
+    docs = docs_of([(1, "some words", "en"), (None, None), (1, "some words", "en"), (2, "")])
+    only_toxic = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    only_toxic.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 4
+    assert corpus_pipeline.drop_toxic(spark, docs_of([]), str(tmp_path)).count() == 0
