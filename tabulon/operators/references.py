@@ -3,7 +3,10 @@
 A table is read as a grid: rows numbered from 0 in an order, columns as listed. Each asking row
 makes an area of that grid. Sums, counts and means over areas come from a summed-area table by
 two lookups a row, whatever the areas' sizes; other aggregates from a tree of blocks, of which
-an area takes a bounded number at each level. Single cells are looked up by their row's number.
+an area takes two at most at each level. Single cells are looked up by their row's number.
+
+Grids are kept in compressed files, from whose size Catalyst takes them for far smaller than
+they are. So joins with a grid of many rows name their kind, and none is broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from .scratch import settle
 
 #: Children of a block of the tree.
 FAN = 32
+#: Rows of a grid up to which Catalyst chooses how to join it, and blocks up to which a level of the tree is broadcast.
+SMALL, TOP = 50_000, 1_024
 _AT = ("r0", "c0", "r1", "c1")
 
 
@@ -51,6 +56,10 @@ class Grid:
         self.rows = settle(numbered(df.select(*[f"`{c}`" for c in order], values.alias("v")), order).select("r", "_part", "v"), "grid")
         self.size = self.rows.count()
 
+    def joined(self, df: DataFrame, kind: str) -> DataFrame:
+        """``df``, a table of the grid's rows, with the kind of its joins, unless the grid is small."""
+        return df if self.size <= SMALL else df.hint(kind)
+
     def sums(self) -> DataFrame:
         """``r, s, n``: over all rows up to r, the sum and number of the first 0, 1, ... columns' cells."""
         k = range(len(self.columns))
@@ -72,16 +81,24 @@ class Grid:
 
         return run.select("r", along("s", zero).alias("s"), along("n", F.lit(0).cast("long")).alias("n"))
 
-    def blocks(self) -> list[DataFrame]:
-        """Per level ``i, lo, hi``: each column's least and greatest cell in the rows from i * FAN^level on."""
-        level = self.rows.select(F.col("r").alias("i"), F.col("v").alias("lo"), F.col("v").alias("hi"))
-        out, n, k = [level], self.size, range(len(self.columns))
-        while n > FAN:
-            best = [F.array(*[agg(F.get(c, F.lit(j))) for j in k]).alias(c) for agg, c in ((F.min, "lo"), (F.max, "hi"))]
-            level = settle(level.groupBy(F.floor(F.col("i") / FAN).alias("i")).agg(*best), "blocks")
-            out.append(level)
+    def blocks(self) -> list[tuple[DataFrame, int]]:
+        """Per level ``i, lo, hi`` and how many blocks it has: for each of the block's children, in their order, each column's least and greatest cell.
+
+        A child of level 0 is a row, a child of another level is a block of the level before.
+        """
+        child = self.rows.select("r", F.col("v").alias("lo"), F.col("v").alias("hi"))
+        out, n, k = [], self.size, range(len(self.columns))
+        while True:
             n = -(-n // FAN)
-        return out
+            sides = F.array_sort(F.collect_list(F.struct("r", "lo", "hi")))
+            level = child.groupBy(F.floor(F.col("r") / FAN).alias("i")).agg(sides.alias("x")).select("i", F.col("x.lo").alias("lo"), F.col("x.hi").alias("hi"))
+            level = settle(level, "blocks")
+            out.append((level, n))
+            if n <= 1:
+                return out
+            column = lambda c, j: F.transform(c, lambda x: F.get(x, F.lit(j)))
+            best = [F.array(*[agg(column(c, j)) for j in k]).alias(c) for agg, c in ((F.array_min, "lo"), (F.array_max, "hi"))]
+            child = level.select(F.col("i").alias("r"), *best)
 
 
 def offset(rows: Column, columns: Column, height: Column | int = 1, width: Column | int = 1) -> Column:
@@ -126,9 +143,9 @@ def totals_over(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
 
     An area's error comes first; the average of no numbers is #DIV/0!. Cells beyond the table are empty.
     """
-    table = grid.sums()
-    end = table.select(F.col("r").alias("_r1"), F.col("s").alias("_s1"), F.col("n").alias("_n1"))
-    start = table.select((F.col("r") + 1).alias("_r0"), F.col("s").alias("_s0"), F.col("n").alias("_n0"))
+    table = settle(grid.sums(), "sums")
+    end = grid.joined(table.select(F.col("r").alias("_r1"), F.col("s").alias("_s1"), F.col("n").alias("_n1")), "merge")
+    start = grid.joined(table.select((F.col("r") + 1).alias("_r0"), F.col("s").alias("_s0"), F.col("n").alias("_n0")), "merge")
     met = _clipped(asking, area, grid).join(end, "_r1", "left").join(start, "_r0", "left")
     some = (F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1"))
 
@@ -143,36 +160,52 @@ def totals_over(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     return own.withColumn("average", F.try_divide(F.col("sum"), F.col("count"))).select(*asking.columns, "sum", "count", "average", "err")
 
 
+def _pieces(levels: int) -> Column:
+    """Of the rows ``_r0`` to ``_r1``, the pieces ``level, i, first, n``: n children of block i from the first (0, 1, ...) on.
+
+    At each level what is left is cut at the ends of blocks: whole blocks are left to the next
+    level, a piece at either end is not. The last level has one block.
+    """
+    out = []
+    for level in range(levels):
+        size = FAN**level  # rows of a child
+        a, b = F.expr(f"(_r0 + {size - 1}) div {size}"), F.expr(f"(_r1 + 1) div {size}")  # whole children
+        up, down = F.expr(f"(_r0 + {size * FAN - 1}) div {size * FAN}"), F.expr(f"(_r1 + 1) div {size * FAN}")
+        piece = lambda lo, hi, level=level: F.struct(F.lit(level).alias("level"), F.floor(lo / FAN).alias("i"), (lo % FAN).cast("int").alias("first"), (hi - lo).cast("int").alias("n"))
+        within = F.lit(True) if level == levels - 1 else up > down  # both ends in one block
+        out += [piece(a, F.when(within, b).otherwise(up * FAN)), piece(F.when(within, b).otherwise(down * FAN), b)]
+    return F.filter(F.array(*out), lambda x: x["n"] > 0)
+
+
 def extremes_over(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     """``asking`` with ``least`` and ``greatest`` of the numbers in each row's area (0 where there are none), and ``err``.
 
-    An area meets at most twice FAN - 1 blocks of each level.
+    Each distinct area is worked out once; it meets at most two blocks of each level. Levels of few blocks, which all wide areas share, are broadcast.
     """
-    own = settle(_clipped(asking, area, grid).withColumn("_id", F.monotonically_increasing_id()), "asking")
+    place = ["_r0", "_r1", "_c0", "_c1"]
+    own = settle(_clipped(asking, area, grid), "asking")
+    some = (F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")) & F.col(area)["err"].isNull()
     blocks = grid.blocks()
-    left = own.where((F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")) & F.col(area)["err"].isNull()).select("_id", "_c0", "_c1", F.col("_r0").alias("a"), (F.col("_r1") + 1).alias("b"))
+    asked = settle(own.where(some).select(*place).distinct().select("*", F.explode(_pieces(len(blocks))).alias("p")).select(*place, "p.*"), "pieces")
     found = None
-    for level, table in enumerate(blocks):
-        a, b = F.col("a"), F.col("b")
-        up, down = F.ceil(a / FAN), F.floor(b / FAN)
-        last = F.lit(level == len(blocks) - 1) | (up >= down)  # nothing whole is left for the next level
-        numbers = lambda lo, hi: F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
-        ends = F.concat(numbers(a, up * FAN), numbers(down * FAN, b))
-        asked = left.where("a < b").select("_id", "_c0", "_c1", F.explode(F.when(last, numbers(a, b)).otherwise(ends)).alias("i"))
-        here = asked.join(table, "i").select("_id", *[agg(F.slice(c, F.col("_c0") + 1, F.col("_c1") - F.col("_c0") + 1)).alias(c) for agg, c in ((F.array_min, "lo"), (F.array_max, "hi"))])
+    for level, (table, n) in enumerate(blocks):
+        table = F.broadcast(table) if n <= TOP else table.hint("merge")
+        met = asked.where(F.col("level") == level).join(table, "i")
+        cells = lambda c: F.flatten(F.transform(F.slice(c, F.col("first") + 1, F.col("n")), lambda v: F.slice(v, F.col("_c0") + 1, F.col("_c1") - F.col("_c0") + 1)))
+        here = met.select(*place, F.array_min(cells("lo")).alias("lo"), F.array_max(cells("hi")).alias("hi"))
         found = here if found is None else found.unionByName(here)
-        left = left.select("_id", "_c0", "_c1", F.when(last, 0).otherwise(up).alias("a"), F.when(last, 0).otherwise(down).alias("b"))
-    best = found.groupBy("_id").agg(F.min("lo").alias("least"), F.max("hi").alias("greatest"))
+    best = grid.joined(found.groupBy(*place).agg(F.min("lo").alias("least"), F.max("hi").alias("greatest")), "merge")
     failed = F.col(area)["err"]
     shown = {c: F.when(failed.isNull(), F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in ("least", "greatest")}
-    return own.join(best, "_id", "left").withColumns(shown | {"err": failed}).select(*asking.columns, "least", "greatest", "err")
+    return own.join(best, place, "left").withColumns(shown | {"err": failed}).select(*asking.columns, "least", "greatest", "err")
 
 
 def cell_at(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     """``asking`` with ``value``, the one cell of each row's area (0 where it is empty), and ``err``: areas of more cells are #VALUE!."""
     a = F.col(area)
     many = (a["r0"] != a["r1"]) | (a["c0"] != a["c1"])
-    met = asking.withColumn("_r", a["r0"]).join(grid.rows.select(F.col("r").alias("_r"), "v"), "_r", "left")
+    cells = grid.joined(grid.rows.select(F.col("r").alias("_r"), "v"), "shuffle_hash")  # asking rows pass by and are not sorted
+    met = asking.withColumn("_r", a["r0"]).join(cells, "_r", "left")
     err = F.coalesce(a["err"], F.when(many, F.lit(V.VALUE)))
     value = F.when(err.isNull(), F.coalesce(F.get("v", a["c0"].cast("int")).cast("double"), F.lit(0.0)))
     return met.withColumns({"value": value, "err": err}).select(*asking.columns, "value", "err")
@@ -191,6 +224,7 @@ def hlookup(asking: DataFrame, key: Column, grid: Grid, index: Column, approxima
     at = F.floor(index).cast("long")
     own = asking.withColumns({"_j": F.coalesce(place, F.lit(0)), "_r": at - 2})
     err = F.when(F.coalesce(at < 2, F.lit(True)), F.lit(V.VALUE)).when(at > grid.size + 1, F.lit(V.REF)).when(F.col("_j") < 1, F.lit(V.NA))
-    met = own.withColumn("err", err).join(grid.rows.select(F.col("r").alias("_r"), "v"), "_r", "left")
+    cells = grid.joined(grid.rows.select(F.col("r").alias("_r"), "v"), "shuffle_hash")
+    met = own.withColumn("err", err).join(cells, "_r", "left")
     value = F.when(F.col("err").isNull(), F.coalesce(F.get("v", F.col("_j") - 1).cast("double"), F.lit(0.0)))
     return met.withColumn("value", value).select(*asking.columns, "value", "err")

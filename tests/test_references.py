@@ -68,3 +68,26 @@ def test_an_empty_table_and_ties(spark):
     assert ref.extremes_over(frame, "area", empty).first().least == 0.0
     same = ref.numbered(spark.createDataFrame([(1, "x")] * 50, "k long, s string").repartition(4), ["k"])
     assert sorted(r.r for r in same.collect()) == list(range(50))
+
+
+@pytest.mark.parametrize("size", [1, 31, 32, 33, 1023, 1024, 1025, 2100])
+def test_extremes_at_the_ends_of_blocks(spark, size):
+    rows = [(i, (i * 7919) % 2003 - 1000) for i in range(size)]
+    grid = ref.Grid(spark.createDataFrame(rows, "k long, a int"), ["k"], ["a"])
+    ends = sorted({x for x in (0, 1, 31, 32, 33, 63, 64, 1023, 1024, 1025, 2047, 2048, size - 1, size) if 0 <= x <= size})
+    asked = [(n, a, b - a) for n, (a, b) in enumerate((a, b) for a in ends for b in ends if a < b)]
+    frame = spark.createDataFrame(asked + asked[:3], "id int, r int, h int").withColumn("area", ref.offset(F.col("r"), F.lit(0), F.col("h"), F.lit(1)))
+    got = ref.extremes_over(frame, "area", grid).collect()
+    assert len(got) == len(asked) + len(asked[:3])
+    for x in got:
+        own = [v for _, v in rows[x.r : x.r + x.h]]
+        assert (x.least, x.greatest) == (min(own), max(own))
+
+
+def test_grids_of_many_rows_are_not_broadcast(spark, table, monkeypatch):
+    monkeypatch.setattr(ref, "SMALL", 10)
+    monkeypatch.setattr(ref, "TOP", 0)
+    _, grid = table
+    frame = spark.range(40).withColumn("area", ref.offset(F.col("id"), F.lit(0), F.lit(40), F.lit(2)))
+    for got in (ref.totals_over(frame, "area", grid), ref.extremes_over(frame, "area", grid), ref.cell_at(frame, "area", grid), ref.hlookup(frame, F.lit("a"), grid, F.col("id"))):
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
