@@ -138,6 +138,11 @@ def _clipped(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     })
 
 
+def _key(row: Column) -> Column:
+    """``row``, or a row that no grid has where it is null: what asks for none would otherwise meet in one task."""
+    return F.coalesce(row, -1 - F.monotonically_increasing_id().bitwiseAND(0xFFFFF))
+
+
 def totals_over(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     """``asking`` with ``sum``, ``count``, ``average`` of the numbers in each row's area, and ``err``.
 
@@ -146,8 +151,10 @@ def totals_over(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     table = settle(grid.sums(), "sums")
     end = grid.joined(table.select(F.col("r").alias("_r1"), F.col("s").alias("_s1"), F.col("n").alias("_n1")), "merge")
     start = grid.joined(table.select((F.col("r") + 1).alias("_r0"), F.col("s").alias("_s0"), F.col("n").alias("_n0")), "merge")
-    met = _clipped(asking, area, grid).join(end, "_r1", "left").join(start, "_r0", "left")
-    some = (F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1"))
+    own = _clipped(asking, area, grid).withColumn("_some", (F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")))
+    met = own.withColumn("_r0", _key(F.when(F.col("_r0") > 0, F.col("_r0")))).withColumn("_r1", _key(F.col("_r1")))
+    met = met.join(end, "_r1", "left").join(start, "_r0", "left")
+    some = F.col("_some")
 
     def total(x: str, kind: str) -> Column:
         at = lambda side, c: F.coalesce(F.get(f"_{x}{side}", c), F.lit(0).cast(kind))
@@ -204,11 +211,11 @@ def cell_at(asking: DataFrame, area: str, grid: Grid) -> DataFrame:
     """``asking`` with ``value``, the one cell of each row's area (0 where it is empty), and ``err``: areas of more cells are #VALUE!."""
     a = F.col(area)
     many = (a["r0"] != a["r1"]) | (a["c0"] != a["c1"])
-    cells = grid.joined(grid.rows.select(F.col("r").alias("_r"), "v"), "shuffle_hash")  # asking rows pass by and are not sorted
-    met = asking.withColumn("_r", a["r0"]).join(cells, "_r", "left")
     err = F.coalesce(a["err"], F.when(many, F.lit(V.VALUE)))
-    value = F.when(err.isNull(), F.coalesce(F.get("v", a["c0"].cast("int")).cast("double"), F.lit(0.0)))
-    return met.withColumns({"value": value, "err": err}).select(*asking.columns, "value", "err")
+    cells = grid.joined(grid.rows.select(F.col("r").alias("_r"), "v"), "merge")
+    own = asking.withColumns({"err": err, "_r": _key(F.when(err.isNull(), a["r0"])), "_c": a["c0"].cast("int")})
+    value = F.when(F.col("err").isNull(), F.coalesce(F.get("v", F.col("_c")).cast("double"), F.lit(0.0)))
+    return own.join(cells, "_r", "left").withColumn("value", value).select(*asking.columns, "value", "err")
 
 
 def hlookup(asking: DataFrame, key: Column, grid: Grid, index: Column, approximate: bool = False) -> DataFrame:
@@ -224,7 +231,7 @@ def hlookup(asking: DataFrame, key: Column, grid: Grid, index: Column, approxima
     at = F.floor(index).cast("long")
     own = asking.withColumns({"_j": F.coalesce(place, F.lit(0)), "_r": at - 2})
     err = F.when(F.coalesce(at < 2, F.lit(True)), F.lit(V.VALUE)).when(at > grid.size + 1, F.lit(V.REF)).when(F.col("_j") < 1, F.lit(V.NA))
-    cells = grid.joined(grid.rows.select(F.col("r").alias("_r"), "v"), "shuffle_hash")
-    met = own.withColumn("err", err).join(cells, "_r", "left")
+    cells = grid.joined(grid.rows.select(F.col("r").alias("_r"), "v"), "merge")
+    met = own.withColumn("err", err).withColumn("_r", _key(F.when(F.col("err").isNull(), F.col("_r")))).join(cells, "_r", "left")
     value = F.when(F.col("err").isNull(), F.coalesce(F.get("v", F.col("_j") - 1).cast("double"), F.lit(0.0)))
     return met.withColumn("value", value).select(*asking.columns, "value", "err")

@@ -91,3 +91,16 @@ def test_grids_of_many_rows_are_not_broadcast(spark, table, monkeypatch):
     frame = spark.range(40).withColumn("area", ref.offset(F.col("id"), F.lit(0), F.lit(40), F.lit(2)))
     for got in (ref.totals_over(frame, "area", grid), ref.extremes_over(frame, "area", grid), ref.cell_at(frame, "area", grid), ref.hlookup(frame, F.lit("a"), grid, F.col("id"))):
         assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_ask_for_no_cell_are_spread(spark, table, monkeypatch):
+    monkeypatch.setattr(ref, "SMALL", 10)
+    _, grid = table
+    frame = spark.range(4000, numPartitions=4).withColumn("area", ref.indirect(F.when(F.col("id") % 4 == 0, "A1").otherwise("none")))
+    keep = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = ref.cell_at(frame, "area", grid).groupBy(F.spark_partition_id()).agg(F.count_if(F.col("err") == "#REF!").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", keep)
+    assert sum(r.n for r in got) == 3000 and max(r.n for r in got) < 1500
