@@ -24,8 +24,17 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{app}"
 
 
+#: Rows from which on a settled table is not broadcast.
+LARGE = 200_000
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table and read it again: what follows survives lost executors without computing ``df`` anew."""
+    """Write ``df`` as a table and read it again: what follows survives lost executors without computing ``df`` anew.
+
+    Catalyst takes a table for as large as its compressed files, and would broadcast tables of
+    many alike rows that the driver can't hold. So those of LARGE rows or more ask for merge joins.
+    """
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out if out.count() < LARGE else out.hint("merge")

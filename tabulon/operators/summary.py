@@ -69,6 +69,10 @@ def _areas(text: str) -> list[dict]:
     return out
 
 
+def _formulas(cells: DataFrame, key: str) -> DataFrame:
+    return settle(cells.where(F.col("input").startswith("=") & (F.char_length("input") > 1)).select(key, "sheet", "r", "c", "input"), "formulas")
+
+
 def dependents(cells: DataFrame, key: str = "workbook_id") -> DataFrame:
     """``key, sheet, r, c, by``: formula cells, and each formula cell (``by``: sheet, r, c) that reads them.
 
@@ -79,7 +83,7 @@ def dependents(cells: DataFrame, key: str = "workbook_id") -> DataFrame:
         return pa.array([_areas(t) for t in column.to_pylist()], _AREAS)
 
     kind = "array<struct<sheet: string, r0: int, c0: int, r1: int, c1: int>>"
-    own = cells.where(F.col("input").startswith("=") & (F.char_length("input") > 1)).select(key, "sheet", "r", "c", "input")
+    own = _formulas(cells, key)
     reads = own.select(key, F.struct("sheet", "r", "c").alias("by"), F.explode(F.array_distinct(F.arrow_udf(run, kind)("input"))).alias("a"))
     reads = reads.withColumn("_sheet", F.coalesce("a.sheet", F.lower("by.sheet")))
     used = own.groupBy(key, F.lower("sheet").alias("_sheet")).agg(F.max("r").alias("_r"), F.max("c").alias("_c"))
@@ -98,7 +102,7 @@ def dependency_summary(cells: DataFrame, key: str = "workbook_id", most: int = M
     at most; a circle is never peeled. Of equal counts the first address by text is listed.
     """
     edges = settle(dependents(cells, key), "dependents")
-    own = cells.where(F.col("input").startswith("=") & (F.char_length("input") > 1))
+    own = _formulas(cells, key)
     read = edges.groupBy(key, "sheet", "r", "c").agg(F.count("*").alias("n")).withColumn("at", F.concat("sheet", F.lit("!"), a1(F.col("r"), F.col("c"))))
     first = Window.partitionBy(key).orderBy(F.desc("n"), "at")
     top = read.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= most)
@@ -115,7 +119,8 @@ def dependency_summary(cells: DataFrame, key: str = "workbook_id", most: int = M
         left = still.join(peeled.select(key), key, "left_semi")
         if left.isEmpty():
             break
-    out = own.groupBy(key).agg(F.count("*").alias("formula_cells")).join(read.groupBy(key).agg(F.count("*").alias("_read")), key, "left").join(depth.groupBy(key).agg(F.max("depth").alias("max_depth")), key, "left").join(listed, key, "left")
+    depth = settle(depth.groupBy(key).agg(F.max("depth").alias("max_depth")), "depths")
+    out = own.groupBy(key).agg(F.count("*").alias("formula_cells")).join(read.groupBy(key).agg(F.count("*").alias("_read")), key, "left").join(depth, key, "left").join(listed, key, "left")
     shown = F.transform(F.coalesce("_top", F.array().cast("array<struct<_i: int, at: string, n: bigint>>")), lambda x: F.struct(x["at"], x["n"]))
     return out.select(key, "formula_cells", (F.col("formula_cells") - F.coalesce("_read", F.lit(0))).alias("leaf_formulas"), F.coalesce("max_depth", F.lit(0)).alias("max_depth"), shown.alias("most_depended_on"))
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
-from tabulon.operators import augment, summary
+from tabulon.operators import augment, scratch, summary
 from tabulon.streaming import store
 
 CELLS = "workbook_id string, sheet string, r int, c int, input string"
@@ -102,3 +102,11 @@ def test_cases_of_formulas(spark, tmp_path):
     (tmp_path / "c.toml").write_text('[[case]]\nid = "one"\nformula = "=1"\nexpect = "1"\nsource = "known"\nnote = "n"\n')
     with pytest.raises(ValueError, match="twice"):
         parity.load_cases(spark, str(tmp_path))
+
+
+def test_summaries_of_many_books_broadcast_nothing(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "LARGE", 1)
+    rows = spark.createDataFrame([(f"b{i}", "S", r, 0, x) for i in range(9) for r, x in enumerate(("1", "=A1+1", "=SUM(A1:A2)"))], CELLS)
+    got = summary.dependency_summary(rows)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.formula_cells, r.leaf_formulas, r.max_depth) for r in got.collect()} == {(2, 1, 2)} and got.count() == 9
