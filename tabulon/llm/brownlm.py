@@ -1,9 +1,9 @@
 """Class-based bigram language model with exchange clustering (Brown classes).
 
-Word counts and class bigrams come from all training texts. The most frequent words are
-clustered by exchange. Every other word, however rare, then makes one exchange step of its
-own, distributed over the vocabulary: it goes to the class that gives the words before and
-after it the highest likelihood. A text's probability is that of its class transitions times
+Word counts and class bigrams come from all training texts: every pair of tokens side by side
+is counted. The most frequent words are clustered by exchange. Every other word, however rare,
+then makes an exchange step of its own, distributed over the vocabulary: it goes to the class
+that gives the words before and after it the highest likelihood. A text's probability is that of its class transitions times
 that of each word in its class, both smoothed. Frequent words are scored where the text is
 read; rarer ones, whose table grows with the corpus, meet their counts and classes in a join.
 """
@@ -25,7 +25,6 @@ from .common import crc_mod, materialise, pick, slices, texts
 #: Words whose exchange goes on until none moves, classes, words whose counts every task holds. All other words make one step.
 CLUSTERED, CLASSES, HEAD = 1024, 48, 1 << 17
 EMISSION, LAMBDA = 0.5, 0.1
-SWEEPS = 12
 HOLD = 250_000
 
 
@@ -118,20 +117,21 @@ def _h(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES) -> np.ndarray:
     """Class of each symbol: exchange clustering of the first ``n_words``; the others keep a class each.
 
     Each word in turn goes to the class that gives the class bigrams the highest likelihood,
-    until a sweep moves none.
+    until a sweep moves none. A move has to gain more than rounding could give, so this ends.
     """
-    size = len(pairs)
+    size, least = len(pairs), 1e-9 + 1e-12 * float(_h(np.float64(pairs.sum())))
     k = min(classes, n_words)
     of = np.concatenate([np.arange(n_words) % max(k, 1), k + np.arange(size - n_words)]).astype(np.int64)
     total = k + size - n_words
     m = np.zeros((total, total))
     np.add.at(m, (of[:, None], of[None, :]), pairs)
     sums = lambda v: np.bincount(of, weights=v, minlength=total)
-    for _ in range(sweeps if k > 1 else 0):
+    moved = k > 1
+    while moved:
         moved = 0
         for w in range(n_words):
             a, self_pairs = of[w], float(pairs[w, w])
@@ -141,7 +141,7 @@ def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, sweeps: in
             m[a] -= row
             m[:, a] -= col
             m[a, a] -= self_pairs
-            right, left = m.sum(axis=1), m.sum(axis=0)
+            right, left = m.sum(axis=1) + col, m.sum(axis=0) + row  # all tokens of a class but this word's
             near = m[:k] + row
             back = m[:, :k].T + col
             own = np.arange(k)
@@ -151,15 +151,13 @@ def exchange(pairs: np.ndarray, n_words: int, classes: int = CLASSES, sweeps: in
             n_out, n_in = row.sum() + self_pairs, col.sum() + self_pairs
             gain -= _h(right[:k] + n_out) - _h(right[:k]) + _h(left[:k] + n_in) - _h(left[:k])
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             moved += b != a
             of[w] = b
             m[b] += row
             m[:, b] += col
             m[b, b] += self_pairs
-        if not moved:
-            break
     return of
 
 
@@ -171,47 +169,102 @@ def smooth(m: np.ndarray) -> np.ndarray:
     return np.where(seen > 0, (1 - LAMBDA) * m / np.maximum(seen, 1), (1 - LAMBDA) * prior) + LAMBDA * prior
 
 
-def neighbours(rows: DataFrame, clustered: list[bytes], classes: list[int]) -> DataFrame:
-    """``(word, found)`` for every word that isn't clustered and stands by one that is, or by an end: counts ``n`` per ``code``.
+def _codes(way: np.ndarray, at: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
+    """The classes before and after the places ``at``: what is added to a class to be its code, and the classes."""
+    return [(0, way[at - 1]), (size, way[at + 1])]
+
+
+def beside_known(rows: DataFrame, head: list[bytes], known: np.ndarray) -> DataFrame:
+    """``(at, code, n)``: how often the head's word ``at`` stands beside a word of each known class, or an end.
+
+    ``known`` has the class of each word of ``head``, -1 where it has none yet; words without one are counted. A code
+    below size is the class before the word, else that after it plus size, where size is the classes and an end as the last.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((head, known))  # HEAD words at most
+    size = int(known.max(initial=-1)) + 2
 
-    A code below len(m) is the class before the word, else that after it plus len(m), where
-    m is the classes with an end as the last.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, k = shared.value
+        place = {w: i for i, w in enumerate(words)}
+        of = np.append(k, -1)
+        total = np.zeros(len(words) * 2 * size, dtype=np.int32)
+        for b in slices(batches, "text"):
+            flat, sizes = flat_words(texts(b.column(0)))
+            own = np.fromiter(map(place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+            way = np.full(len(flat) + len(sizes) + 1, size - 1)
+            at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes) + 1
+            way[at] = of[own]
+            open_ = (own >= 0) & (of[own] < 0)
+            for side, there in _codes(way, at[open_], size):
+                cells, n = np.unique((own[open_] * 2 * size + there + side)[there >= 0], return_counts=True)
+                total[cells] += n.astype(np.int32)
+        cells = np.flatnonzero(total)
+        for i in range(0, len(cells), 100_000):
+            part = cells[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array((part // (2 * size)).astype(np.int32)), pa.array((part % (2 * size)).astype(np.int32)), pa.array(total[part].astype(np.int64))], ["at", "code", "n"])
+
+    return rows.select("text").mapInArrow(run, "at int, code int, n long").groupBy("at", "code").agg(F.sum("n").alias("n"))
+
+
+def all_pairs(rows: DataFrame, head: list[bytes], known: np.ndarray) -> DataFrame:
+    """``(word, mate, found)``: every pair of tokens side by side, by class where the head knows it; found has counts ``n`` per ``code``.
+
+    Two words of the head (or ends): word and mate are null, a code is the first's class * size + the second's. A rarer
+    word beside one of the head: word, and codes of :func:`beside_known`. Two rarer words: both, and one count.
+    A word or pair has a row per task and more.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((clustered, classes))  # CLUSTERED words at most
-    size = max(classes, default=-1) + 2  # 2 * size is below 256, for a code is a byte
+    shared = rows.sparkSession.sparkContext.broadcast((head, known))  # HEAD words at most
+    size = int(known.max(initial=-1)) + 2  # 2 * size is below 255, for a code is a byte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of = shared.value
+        words, k = shared.value
+        n_head = len(words)
         place: dict[bytes, int] = defaultdict(lambda: len(place), {w: i for i, w in enumerate(words)})
-        held, count = [], 0
+        of = np.append(k, -1)
+        total = np.zeros(size * size, dtype=np.int64)
+        held, twos, count = [], [], 0
+
+        def made(word: pa.Array, mate: pa.Array, ends: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            found = pa.StructArray.from_arrays([pa.array(code.astype(np.int32)), pa.array(n)], ["code", "n"])
+            return pa.RecordBatch.from_arrays([word, mate, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)], ["word", "mate", "found"])
 
         def out() -> pa.RecordBatch:
-            own, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-            named = list(place)
-            b = pa.RecordBatch.from_arrays([pa.array([named[i] for i in (own >> 8).tolist()], pa.binary()), pa.array((own & 255).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
-            for w in named[len(words) :]:
+            named = np.array([None, *list(place)[n_head:]], dtype=object)
+            single, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+            double, times = np.unique(np.concatenate(twos), return_counts=True) if twos else (np.empty(0, np.int64),) * 2
+            own, first = np.unique(single >> 8, return_index=True)
+            word = np.concatenate([own, double >> 32]) - n_head + 1
+            mate = np.concatenate([np.zeros(len(own), np.int64), (double & 0xFFFFFFFF) - n_head + 1])
+            ends = np.concatenate([first, len(single) + np.arange(len(double) + 1)])
+            code = np.concatenate([single & 255, np.full(len(double), -1)])
+            for w in named[1:]:
                 del place[w]
-            return b
+            return made(pa.array(named[word], pa.binary()), pa.array(named[mate], pa.binary()), ends, code, np.concatenate([n, times]))
 
         for b in slices(batches, "text", 1_000_000):
             flat, sizes = flat_words(texts(b.column(0)))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
             own = np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat))
-            clear = own < len(words)
             way = np.full(len(flat) + len(sizes) + 1, size - 1)
-            at = np.arange(len(flat)) + doc + 1
-            way[at] = np.where(clear, np.append(of, 0)[np.minimum(own, len(words))], -1)
-            for side, there in ((0, way[at - 1]), (size, way[at + 1])):
-                kept = ~clear & (there >= 0)
-                held.append(own[kept] << 8 | (there[kept] + side))
+            at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes) + 1
+            way[at] = of[np.minimum(own, n_head)]
+            both = (way[:-1] >= 0) & (way[1:] >= 0)
+            total += np.bincount(way[:-1][both] * size + way[1:][both], minlength=len(total))
+            rare = own >= n_head
+            for side, there in _codes(way, at[rare], size):
+                held.append((own[rare] << 8 | (there + side))[there >= 0])
                 count += len(held[-1])
-            if count > 8 * HOLD or len(place) > 2 * HOLD:
+            places = np.flatnonzero(rare)
+            first = places[:-1][np.diff(at[places]) == 1]
+            twos.append(own[first] << 32 | own[np.minimum(first + 1, len(own) - 1)])
+            count += len(first)
+            if count > 4 * HOLD or len(place) - n_head > HOLD:
                 yield out()
-                held, count = [], 0
+                held, twos, count = [], [], 0
         yield out()
+        cells, none = np.flatnonzero(total), pa.nulls(1, pa.binary())
+        yield made(none, none, np.array([0, len(cells)]), cells, total[cells])
 
-    counts = rows.select("text").mapInArrow(run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-    return counts.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("found"))  # 2 * (CLASSES + 1) codes at most
+    return rows.select("text").mapInArrow(run, "word binary, mate binary, found array<struct<code: int, n: long>>")
 
 
 def best_class(m: np.ndarray, code: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -249,52 +302,73 @@ class Model:
 
 
 def train(rows: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
-    """Learn from all rows (text); ``counts`` is their word table. The model, and ``(word, c, k)`` with every word's class."""
+    """Learn from all rows (text); ``counts`` is their word table. The model, and ``(word, c, k)`` with every word's class.
+
+    The words of the head that aren't clustered choose a class by their clustered neighbours, rarer words by those of the
+    head, and once more by all of theirs. Then every pair of tokens side by side counts for the class bigrams.
+    """
     spark = rows.sparkSession
     n_docs = rows.count()
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    clustered = [w for w, _ in frequent(counts, CLUSTERED)[:CLUSTERED]]
+    head = [w for w, _ in frequent(counts, max(HEAD, CLUSTERED))]
+    clustered = head[:CLUSTERED]
     symbols = Symbols(clustered)
     found = symbol_pairs(rows, clustered).toArrow()  # (CLUSTERED + 2) squared rows at most
     pairs = np.zeros(symbols.size * symbols.size, dtype=np.int64)
     pairs[found.column("pair").to_numpy()] = found.column("n").to_numpy()
-    # every task's first text starts after an end that no text gave
     pairs = pairs.reshape(symbols.size, symbols.size)
     of = exchange(pairs, len(clustered))
-    classes = of[: len(clustered)].tolist()
-    size = max(classes, default=-1) + 2
-    full = np.zeros((size + 1, size + 1))  # the classes, all other words, the end
-    np.add.at(full, (of[:, None], of[None, :]), pairs)
-    other, last = size - 1, size
-    m = np.delete(np.delete(full, other, 0), other, 1)
+    size = int(of[: len(clustered)].max(initial=-1)) + 2
+    m = np.zeros((size + 1, size + 1))  # the classes, all other words, the end
+    np.add.at(m, (of[:, None], of[None, :]), pairs)
+    m = np.delete(np.delete(m, size - 1, 0), size - 1, 1)
     fallback = int(m.sum(axis=0)[:-1].argmax()) if clustered else 0
 
-    @F.arrow_udf("int")
-    def choose(groups: pa.Array) -> pa.Array:
-        flat, size = groups.flatten(), groups.value_lengths().to_numpy()
-        return pa.array(best_class(m, flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float), np.cumsum(size) - size) if len(groups) else [], pa.int32())
-
+    def chosen(m: np.ndarray):
+        @F.arrow_udf("int")
+        def choose(groups: pa.Array) -> pa.Array:
+            flat, size = groups.flatten(), groups.value_lengths().to_numpy()
+            return pa.array(best_class(m, flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(float), np.cumsum(size) - size) if len(groups) else [], pa.int32())
+
+        return choose
+
+    known = np.concatenate([of[: len(clustered)], np.full(len(head) - len(clustered), -1)])
+    if len(head) > len(clustered):
+        found = beside_known(rows, head, known).groupBy("at").agg(F.collect_list(F.struct("code", "n")).alias("found"))  # 2 * (CLASSES + 1) codes at most
+        own = found.select("at", chosen(m)("found").alias("k")).toArrow()  # HEAD rows at most
+        known[len(clustered) :] = fallback
+        known[own.column("at").to_numpy()] = own.column("k").to_numpy()
+    table = materialise(all_pairs(rows, head, known), "lm-pairs")
+    m = np.zeros((size, size))
+    for r in table.where("word is null").select(F.explode("found").alias("f")).groupBy("f.code").agg(F.sum("f.n").alias("n")).collect():  # classes squared
+        m[divmod(r.code, size)] += r.n
+    fixed = spark.createDataFrame(pa.table({"word": pa.array(head, pa.binary()), "k": pa.array(known, pa.int32())}))
     if clustered:
-        moved = materialise(neighbours(rows, clustered, classes).select("word", "found", choose("found").alias("k")), "lm-neighbours")
-    else:
-        moved = spark.createDataFrame([], "word binary, found array<struct<code:int,n:long>>, k int")
-    fixed = spark.createDataFrame(list(zip(map(bytearray, clustered), classes, strict=True)), "word binary, k int")
-    words = counts.join(fixed.unionAll(moved.select("word", "k")), "word", "left").select("word", "c", F.coalesce("k", F.lit(fallback)).alias("k"))
+        choose, every = chosen(m.copy()), lambda c: F.flatten(F.collect_list(c)).alias(c)
+        first = table.where("word is not null and mate is null").groupBy("word").agg(every("found"))
+        first = materialise(first.select("word", "found", choose("found").alias("k")), "lm-first")
+        # two rarer words side by side choose again, by one another's first class too
+        twos = table.where("mate is not null").select("word", "mate", F.get("found", F.lit(0))["n"].alias("n"))
+        code = lambda c: F.array(F.struct(c.cast("int").alias("code"), "n")).alias("more")
+        after = twos.join(first.select(F.col("word").alias("mate"), "k"), "mate").select("word", code(F.col("k") + size))
+        before = twos.join(first.select("word", "k"), "word").select(F.col("mate").alias("word"), code(F.col("k")))
+        more = after.unionAll(before).groupBy("word").agg(every("more"))
+        again = first.join(more, "word", "full").where("more is not null")
+        none = F.array().cast("array<struct<code: int, n: long>>")
+        again = again.select("word", choose(F.concat(F.coalesce("found", none), "more")).alias("_k"))
+        moved = materialise(first.join(again, "word", "full").select("word", "found", F.coalesce("_k", "k").alias("k")), "lm-second")
+        for r in moved.select("k", F.explode("found").alias("f")).groupBy("k", "f.code").agg(F.sum("f.n").alias("n")).collect():
+            m[(r.code, r.k) if r.code < size else (r.k, r.code - size)] += r.n
+        fixed = fixed.unionAll(moved.select("word", "k"))
+    words = counts.join(fixed, "word", "left").select("word", "c", F.coalesce("k", F.lit(fallback)).alias("k"))
     words = materialise(words, "lm-classes")
-    # class bigrams of all words: those beside a clustered word or an end are counted, those of two others shared out by their classes' sizes
-    for r in moved.select("k", F.explode("found").alias("f")).groupBy("k", "f.code").agg(F.sum("f.n").alias("n")).collect():
-        at = (r.code, r.k) if r.code < size else (r.k, r.code - size)
-        m[at] += r.n
-    rare = np.zeros(size)
-    types, singles = np.zeros(size), np.zeros(size)
-    own = set(range(len(clustered)))
-    tokens = np.zeros(size)
+    if clustered:
+        both = twos.join(words.select("word", F.col("k").alias("a")), "word").join(words.select(F.col("word").alias("mate"), F.col("k").alias("b")), "mate")
+        for r in both.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+            m[r.a, r.b] += r.n
+    types, singles, tokens = np.zeros(size), np.zeros(size), np.zeros(size)
     for r in words.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("types"), F.count_if(F.col("c") == 1).alias("singles")).collect():
         tokens[r.k], types[r.k], singles[r.k] = r.c, r.types, r.singles
-    clustered_tokens = np.bincount(classes, weights=pairs.sum(axis=0)[list(own)], minlength=size) if clustered else np.zeros(size)
-    rare[:-1] = np.maximum(tokens - clustered_tokens, 0)[:-1]
-    if rare.sum():
-        m += full[other, other] * np.outer(rare, rare) / rare.sum() ** 2
     tokens[-1], types[-1] = n_docs, 0
     unseen = int(singles[:-1].argmax()) if size > 1 else 0
     types[unseen] += 1
@@ -366,7 +440,7 @@ def score_with(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
     size = len(model.tokens)
     step = lambda x, y: F.element_at(_array(model.transition), x * size + y + 1)
     c, k = F.coalesce("c", F.lit(0)), F.coalesce("k", F.lit(model.unseen))
-    found = parts(docs, model, head_of(words)).join(words, "word", "left").withColumn("c", c).withColumn("k", k)
+    found = materialise(parts(docs, model, head_of(words)).join(words, "word", "left").drop("word").withColumn("c", c).withColumn("k", k), "lm-parts")  # read twice
     single, n, nothing = F.col("mate").isNull(), F.col("n"), F.lit(0.0)
     base = F.log10((F.col("c") + 0.5) / F.lit(float(model.n + 0.5 * (model.v + 1))))
     own = F.log10(F.col("c") + EMISSION) - F.element_at(_array(np.log10(model.norm)), F.col("k") + 1)

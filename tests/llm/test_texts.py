@@ -560,6 +560,24 @@ def test_scores_equal_brute_force_and_classes_are_a_distribution(docs_of, sf, mo
             assert got[i].score == pytest.approx(want)
 
 
+def test_class_bigrams_count_every_pair(docs_of, sf, monkeypatch):
+    monkeypatch.setattr(brownlm, "CLUSTERED", 40)
+    monkeypatch.setattr(brownlm, "CLASSES", 6)
+    rows = [(r.doc_id, r.text) for r in sf("documents").limit(80).collect()] + [(9000, None), (9001, ""), (9003, "odd pair " * 300 + "odd"), (9004, "lone"), (9005, "only here")]
+    for head in (200, 40):
+        monkeypatch.setattr(brownlm, "HEAD", head)
+        model, table = brownlm.learn(docs_of(rows))
+        of = {bytes(r.word): r.k for r in table.collect()}
+        size = len(model.tokens)
+        m = np.zeros((size, size))
+        for i, t in rows:
+            if mod(i, 5) != 1:
+                way = [size - 1, *map(of.get, brownlm.words_of(t or "")), size - 1]
+                np.add.at(m, (way[:-1], way[1:]), 1)
+        assert np.allclose(model.transition, np.log10(brownlm.smooth(m)))
+        assert np.allclose(model.tokens, m.sum(axis=0))
+
+
 def test_every_word_takes_its_neighbours_class(docs_of, monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(brownlm, "CLUSTERED", 20)
@@ -577,6 +595,25 @@ def test_every_word_takes_its_neighbours_class(docs_of, monkeypatch):
     assert {of[w] for w in kinds[0]} == {of[w] for w in rare[0] if w in of} != {of[w] for w in kinds[1]} == {of[w] for w in rare[1] if w in of}
 
 
+def test_exchange_goes_on_until_no_move_raises_the_likelihood():
+    def likelihood(of, pairs):
+        m = np.zeros((of.max() + 1,) * 2)
+        np.add.at(m, (of[:, None], of[None, :]), pairs)
+        h = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return h(m) - h(m.sum(0)) - h(m.sum(1))
+
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        pairs = rng.poisson(rng.gamma(0.3, 3, (32, 32)))
+        found = brownlm.exchange(pairs, 30, classes=5)
+        best = likelihood(found, pairs)
+        for w in range(30):
+            for k in range(5):
+                other = found.copy()
+                other[w] = k
+                assert likelihood(other, pairs) <= best + 1e-6
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(8)
     truth = np.arange(40) % 4
