@@ -113,10 +113,11 @@ def _log(c, args):
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm with a fixed number of steps: 2**53 needs fewer than 80."""
+    """Euclid's algorithm, in as many steps as the smaller number may need: 1.45 for each of its bits, and 2."""
     start = F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.when(s["b"] == 0, F.lit(1).cast("long")).otherwise(s["b"])).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda s: s["a"])
+    steps = F.floor(F.log2(F.greatest(F.coalesce(F.least(a, b), F.lit(1)), F.lit(1)).cast("double") + 1) * 1.45).cast("int") + 2
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["a"])
 
 
 def _whole(c, args):
@@ -139,5 +140,6 @@ def _lcm_of(c, args):
     xs, err = _whole(c, args)
     out = xs[0]
     for x in xs[1:]:
-        out = F.when((out == 0) | (x == 0), F.lit(0).cast("long")).otherwise(F.try_divide(out, _gcd(out, x)).try_cast("long") * x)
+        common = c.bind(V.Value(V.NUM, _gcd(out, x))).col
+        out = F.when((out == 0) | (x == 0), F.lit(0).cast("long")).otherwise(F.try_divide(out, common).try_cast("long") * x)
     return V.finite(out.cast("double"), err)

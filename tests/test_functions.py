@@ -145,3 +145,17 @@ def test_irr(spark):
     df = spark.createDataFrame([(0, -100.0), (1, 60.0), (2, 60.0)], "p int, v double")
     got = Table(df, position="p").derive(r="ROUND(IRR({v}),6)").frame.select(F.max("r")).first()[0]
     assert got == pytest.approx(0.130662)
+
+
+def test_euclid_takes_as_many_steps_as_numbers_need(spark):
+    import math
+
+    fib = [1, 1]
+    while fib[-1] < 2**52:
+        fib.append(fib[-1] + fib[-2])
+    pairs = [*zip(fib, fib[1:], strict=False), (0, 0), (0, 7), (12, 0), (1, 2**52), (2**52, 2**52), (84, 36)]
+    t = Table(spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double"))
+    got = t.derive(g="GCD({a},{b})").frame.collect()
+    assert [(r.a, r.b, r.g) for r in got] == [(a, b, math.gcd(a, b)) for a, b in pairs]
+    plan = t.derive(m="LCM({a},{b})").frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and "79, 80" not in plan  # once a row, not 80 steps for each
