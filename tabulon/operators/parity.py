@@ -37,14 +37,14 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _place(column: pa.Array) -> pa.Array:
-    out = []
-    for t in column.to_pylist():
+    own, out = column.dictionary_encode(), []
+    for t in own.dictionary.to_pylist():
         try:
             at = f.parse_cell(t)
             out.append({"r": at.row, "c": at.col})
         except (f.FormulaError, TypeError, ValueError, AttributeError):
             out.append(None)
-    return pa.array(out, pa.struct([("r", pa.int32()), ("c", pa.int32())]))
+    return pa.array(out, pa.struct([("r", pa.int32()), ("c", pa.int32())])).take(own.indices)
 
 
 def outcomes(cases: DataFrame) -> DataFrame:

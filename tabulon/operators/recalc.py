@@ -121,7 +121,8 @@ def _plans(column: pa.Array) -> pa.Array:
     single = pa.struct([("sheet", pa.string()), ("r", pa.int32()), ("c", pa.int32())])
     inner = pa.struct([("text", pa.string()), ("dense", pa.bool_()), ("slots", pa.list_(area))])
     kind = pa.struct([("outer", pa.string()), ("singles", pa.list_(single)), ("inner", pa.list_(inner))])
-    return pa.array([formula_plan(t) for t in column.to_pylist()], kind)
+    own = column.dictionary_encode()  # workbooks of one make repeat their formulas, so each is parsed once a batch
+    return pa.array([formula_plan(t) for t in own.dictionary.to_pylist()], kind).take(own.indices)
 
 
 class _Unnamed(Exception):  # noqa: N818

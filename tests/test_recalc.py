@@ -128,3 +128,19 @@ def test_odd_tables(spark):
 @pytest.mark.parametrize("text", ["OFFSET(A1,1,0)", "FILTER(A1:A2,A1:A2>1)", "x+1", "SUM(A:A*2)"])
 def test_what_needs_the_whole_workbook_has_no_plan(text):
     assert recalc.formula_plan("=" + text) is None
+
+
+def test_formulas_and_addresses_that_repeat_are_parsed_once_a_batch(monkeypatch):
+    import pyarrow as pa
+    from tabulon.operators import parity, recalc
+
+    parsed, plan, cell = [], recalc.formula_plan, parity.f.parse_cell
+    texts = ["=A1+1", "=SUM(A1:A3)", "=A1+1", "=OFFSET(A1,1,1)", "=(", "=A1+1"] * 50
+    wanted = [plan(t) for t in texts]
+    monkeypatch.setattr(recalc, "formula_plan", lambda t: parsed.append(t) or plan(t))
+    got = recalc._plans(pa.array(texts)).to_pylist()
+    assert len(parsed) == 4 and [g and (g["outer"], len(g["singles"]), [i["text"] for i in g["inner"]]) for g in got] == [w and (w["outer"], len(w["singles"]), [i["text"] for i in w["inner"]]) for w in wanted]
+    parsed.clear()
+    monkeypatch.setattr(parity.f, "parse_cell", lambda t: parsed.append(t) or cell(t))
+    assert parity._place(pa.array(["B2", "A1", "?", None, "B2"] * 9)).to_pylist() == [{"r": 1, "c": 1}, {"r": 0, "c": 0}, None, None, {"r": 1, "c": 1}] * 9
+    assert len(parsed) == 3
