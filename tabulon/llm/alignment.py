@@ -31,6 +31,8 @@ from .tokens import _byte_of, default_path, encoder
 MOST_UNITS, MOST_LINKS = 250_000, 4_000_000
 #: Pairs whose counts are broadcast; rarer ones meet their counts in a shuffle.
 HEAD = 1 << 17
+#: What parts a group's A ids and B ids, and what parts groups.
+MARKS = ";|"
 
 
 def default_pieces() -> str:
@@ -40,11 +42,12 @@ def default_pieces() -> str:
 
 
 class Aligner:
-    """Tokens, groups and links of texts; remembers units."""
+    """Tokens, groups and links of texts; remembers units. ``marks``: what parts a group's A ids and B ids, and what parts groups."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, marks: str = MARKS):
         import sentencepiece
 
+        self.within, self.between = marks
         self.a = encoder(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = self._bytes_of_a()
@@ -83,7 +86,7 @@ class Aligner:
             links.append(a[i] * self.n_b + b[j])
             if end_a == end_b:
                 i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[from_i:i])) + ";" + ",".join(map(str, b[from_j:j])))
+                groups.append(",".join(map(str, a[from_i:i])) + self.within + ",".join(map(str, b[from_j:j])))
                 if i == len(a) or j == len(b):
                     return groups, links
                 from_i, from_j = i, j
@@ -102,7 +105,7 @@ class Aligner:
         if b"".join(self.a_bytes[i] for i in a) != raw or b"".join(self.b_bytes[i] for i in b) != raw:
             return -1
         groups, links = self.merge(a, b)
-        self.text.append("|".join(groups))
+        self.text.append(self.between.join(groups))
         self.counts.extend((len(a), len(b), len(groups), len(links)))
         self.first.append(len(self.links))
         self.links.extend(links)
@@ -132,7 +135,7 @@ class Aligner:
             at.extend(own)
             ends.append(len(at))
         unit, end = np.frombuffer(at, np.int64) if at else np.empty(0, np.int64), np.frombuffer(ends, np.int64)
-        words = ["|".join(map(self.text.__getitem__, at[i:j])) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        words = [self.between.join(map(self.text.__getitem__, at[i:j])) for i, j in zip(ends[:-1], ends[1:], strict=True)]
         counts = np.frombuffer(self.counts, np.int64).reshape(-1, 4)[unit] if len(unit) else np.empty((0, 4), np.int64)
         sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts, axis=0)])
         total = sums[end[1:]] - sums[end[:-1]]
@@ -153,8 +156,8 @@ class Aligner:
 
 
 @lru_cache(maxsize=1)
-def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+def aligner(a_path: str, b_path: str, marks: str) -> Aligner:
+    return Aligner(a_path, b_path, marks)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -162,11 +165,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
-def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, marks: str = MARKS) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, groups, pairs, times`` for every row of ``docs``.
 
-    groups: ``a1,a2|b1;...``-like text of decimal ids, a group's A ids and B ids parted by a
-    semicolon and groups by a bar (see the contract of :func:`digest`). pairs: the distinct
+    groups: text of decimal ids joined by commas; the first of ``marks`` parts a group's A ids and
+    B ids, the second parts groups: ``a1,a2;b1|a3;b2,b3``, or with ``|;`` ``a1,a2|b1;a3|b2,b3``. pairs: the distinct
     links as ``a_id * (B's vocabulary) + b_id``, ascending; times: how often each occurs.
 
     Null and empty texts, and those whose joined A or B bytes differ from a space and the text,
@@ -180,7 +183,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = aligner(a_path, b_path)
+        own = aligner(a_path, b_path, marks)
         for b in slices(batches, "text"):
             groups, total, pairs, times = own.align(texts(b.column(1)))
             counts = [pa.array(np.ascontiguousarray(c)) for c in total.T]
@@ -204,14 +207,14 @@ def pair_counts(rows: DataFrame, n_b: int) -> DataFrame:
     return counts.select("pair", "n_docs", "best_a", "best_b")
 
 
-def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, head: int = HEAD) -> DataFrame:
+def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, head: int = HEAD, marks: str = MARKS) -> DataFrame:
     """Per row of ``docs``: its tokens, groups and links, and how common its links are in the corpus.
 
     ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_best_b``. A pair's
     count is the number of rows that hold it linked. n_best: links whose count is the highest of
     their A id, ties included (n_best_b: of their B id). count_sum: the sum of the links' counts.
-    groups_sha256: of the groups' text in lowercase hex, empty without tokens. For odd rows see
-    :func:`align`; repeated rows count each.
+    groups_sha256: of the groups' text, with its ``marks``, in lowercase hex, empty without tokens. For
+    odd rows see :func:`align`; repeated rows count each.
 
     The ``head`` most common pairs are broadcast, so no common pair is ever dealt by its key;
     the rest, which none of is common, meets its counts in a shuffle.
@@ -219,7 +222,7 @@ def digest(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     b_path = b_path or default_pieces()
     n_b = _vocabulary(b_path)
     hashed = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-    rows = align(docs, a_path, b_path).select(F.monotonically_increasing_id().alias("row"), "*", hashed.alias("groups_sha256")).drop("groups")
+    rows = align(docs, a_path, b_path, marks).select(F.monotonically_increasing_id().alias("row"), "*", hashed.alias("groups_sha256")).drop("groups")
     rows = materialise(rows, "alignment")
     counts = materialise(pair_counts(rows, n_b), "pair-counts")
     bound = head_bound(counts, "n_docs", head)

@@ -51,7 +51,7 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.digest(table(spark, sf_dir, "documents"))
+    return alignment.digest(table(spark, sf_dir, "documents"), marks="|;")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,26 @@ def test_null_ids_repeated_rows_and_no_rows(spark, docs_of):
     assert sorted((r.doc_id or 0, r.n_a) for r in got) == [(0, 2), (1, 2), (1, 2), (2, 0)]
     assert {r.count_sum for r in got if r.n_a} == {6}
     assert al.digest(docs_of([])).count() == 0
+
+
+def test_query_has_the_marks_of_its_contract(spark, tmp_path):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from tabulon.llm import queries
+
+    # digits are single tokens of B, and inside a long word A and B may end together only at its end
+    text = "12345 apples and pseudopolynomial x"
+    a_lib, b_lib = Tokenizer.from_file(default_path()), sentencepiece.SentencePieceProcessor(model_file=al.default_pieces())
+    own = al.Aligner(default_path(), al.default_pieces())
+    a, b = a_lib.encode(" " + text, add_special_tokens=False).ids, b_lib.encode(text)
+    ends = [[sum(len(size[i]) for i in ids[: n + 1]) for n in range(len(ids))] for ids, size in ((a, own.a_bytes), (b, own.b_bytes))]
+    groups, i, j = [], 0, 0
+    for end in sorted(set(ends[0]) & set(ends[1])):
+        to_i, to_j = ends[0].index(end) + 1, ends[1].index(end) + 1
+        groups.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
+        i, j = to_i, to_j
+    assert len(groups) > 2 and any("," in g for g in groups)
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.groups_sha256 for r in queries.op11_alignment(spark, str(tmp_path)).collect()}
+    assert got == {1: hashlib.sha256(";".join(groups).encode()).hexdigest(), 2: ""}
