@@ -7,12 +7,15 @@ two parents, so the counts of all cuts of a phrase, and all phrases inside it, a
 joins from level to level; no text is read again.
 
 Names are joined globally. The most common ones, a bounded number, are broadcast and put in
-place where the sequences lie; the places of all others meet their names in a shuffle. None of
+place where the sequences lie. Other words get their ids from a hash of their own text, so that
+no sequence is moved for them; the words' table tells whether one of them shares its hash with
+another word. Then, and for other pairs always, places meet their names in a shuffle. None of
 those is common, so no key of that shuffle is hot.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,6 +31,8 @@ from .common import discard, head_bound, materialise, pick, slices
 HEAD_WORDS, HEAD_PAIRS = 1 << 17, 1 << 19
 #: Bits of the filter of all other names, whatever their number: it spares joins, it decides nothing.
 FILTER_BITS = 1 << 26
+#: Bits of the hash from which words that aren't broadcast get their ids, 59 at most.
+HASH_BITS = 59
 #: Counts, and places of sequences, that a task holds before it hands on.
 HOLD_COUNTS, HOLD_PLACES = 400_000, 2_000_000
 #: A score is this many times the harmonic-like share a / (l + r).
@@ -99,6 +104,32 @@ def _named(counts: DataFrame, level: int) -> DataFrame:
     return materialise(counts.withColumn("id", F.monotonically_increasing_id() * 8 + level), f"names-{level}")
 
 
+def _key() -> Column:
+    """A word of a language as bytes."""
+    return F.concat("lang", F.lit("\0"), "word").cast("binary")
+
+
+def _hash_id(digits, bits: int):
+    """The id that the number of an MD5's first 15 hex digits gives, as int or column: a multiple of 8, which no other name's id is."""
+    return (digits % (1 << bits) + (1 << 59)) * 8
+
+
+def _word_names(words: DataFrame, least: int, most: int) -> tuple[DataFrame, bool]:
+    """Frequent words with their ids, and whether those that aren't broadcast have theirs from a hash.
+
+    They do unless one of them shares its id with any other word. A word that isn't frequent may get an
+    id in a sequence then, by the filter's false positives; no phrase that holds it is frequent.
+    """
+    often = words.where(F.col("n") >= least)
+    bound = head_bound(often, "n", most)
+    hashed = _hash_id(F.conv(F.substring(F.md5(_key()), 1, 15), 16, 10).cast("long"), HASH_BITS)
+    rest = words.where(F.col("n") < bound).withColumn("id", hashed)
+    own = rest.where(F.col("n") >= least).select("id")
+    alone = rest.select("id").join(own, "id").count() == own.count()  # each meets itself only
+    counted = F.monotonically_increasing_id() * 8 + 1
+    return materialise(often.withColumn("id", F.when(F.col("n") < bound, hashed).otherwise(counted) if alone else counted), "names-1"), alone
+
+
 def _split(names: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """The most common names, ``most`` at most, and the others, or none if there are none."""
     bound = head_bound(names, "n", most)
@@ -111,15 +142,18 @@ def _set(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS) -> DataFrame:
-    """``ids``: sequences of the ids of frequent words, zero where a piece ends or another word stands."""
+def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS, hashed: bool = False) -> DataFrame:
+    """``ids``: sequences of the ids of frequent words, zero where a piece ends or another word stands.
+
+    hashed: the ids of words that aren't broadcast are those of :func:`_word_names`, and are put in place at once.
+    """
     head, rare = _split(names, most)
     own: dict[str, dict[bytes, int]] = defaultdict(dict)
     for r in head.select("lang", "word", "id").toLocalIterator():  # ``most`` rows at most
         own[r.lang][r.word.encode()] = r.id
-    bits = _filter(rare, F.crc32(F.concat("lang", F.lit("\0"), "word").cast("binary")))
+    bits = _filter(rare, F.crc32(_key()))
     shared = docs.sparkSession.sparkContext.broadcast((dict(own), bits))
-    rest_too = rare is not None
+    rest_too, join, width = rare is not None, rare is not None and not hashed, HASH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -133,11 +167,16 @@ def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS) -> DataFr
                 if rest_too:
                     at, start = np.flatnonzero(ids == 0), zlib.crc32(lang.encode() + b"\0")
                     places = np.fromiter((zlib.crc32(words[i], start) for i in at.tolist()), np.int64, len(at))
-                    rest = [{"at": i, "lang": lang, "word": words[i].decode()} for i in at[_set(shared.value[1], places)].tolist() if words[i] != b"."]
-                yield _sequence(ids if rest_too else squeeze(ids), rest, "struct<at:int,lang:string,word:string>")
+                    left = [i for i in at[_set(shared.value[1], places)].tolist() if words[i] != b"."]
+                    if hashed:
+                        prefix = lang.encode() + b"\0"
+                        ids[left] = [_hash_id(int(hashlib.md5(prefix + words[i]).hexdigest()[:15], 16), width) for i in left]
+                    else:
+                        rest = [{"at": i, "lang": lang, "word": words[i].decode()} for i in left]
+                yield _sequence(ids if join else squeeze(ids), rest, "struct<at:int,lang:string,word:string>")
 
     found = docs.mapInArrow(run, "ids array<long>, rest array<struct<at:int,lang:string,word:string>>")
-    return _placed(found, rare, ["lang", "word"])
+    return _placed(found, rare if join else None, ["lang", "word"])
 
 
 _REST = {
@@ -265,8 +304,9 @@ def frequent_phrases(docs: DataFrame, least: int, widest: int, heads: tuple[int,
     docs = pick(docs, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = materialise(word_counts(docs), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    names = [_named(words.where(F.col("n") >= least), 1)]
-    sequences = encoded(docs, names[0], heads[0])
+    first, hashed = _word_names(words, least, heads[0])
+    names = [first]
+    sequences = encoded(docs, first, heads[0], hashed)
     none, no_subs = F.array().cast("array<long>"), F.array().cast("array<struct<id: long, a: long>>")
     level = names[0].select("id", "lang", F.col("n").alias("a"), none.alias("pre"), none.alias("suf"), no_subs.alias("subs"))
     out = []

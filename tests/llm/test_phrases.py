@@ -70,6 +70,18 @@ def test_collocations_equal_brute_force(spark, heads):
     assert len(want) > 60 and got == want
 
 
+@pytest.mark.parametrize("bits", [59, 1])
+def test_words_that_are_not_broadcast_move_no_sequence(spark, monkeypatch, bits):
+    """Unless two of them share a hash, as with one bit they do: then all of them are joined."""
+    moved, placed = [], phrases._placed
+    monkeypatch.setattr(phrases, "HASH_BITS", bits)
+    monkeypatch.setattr(phrases, "_placed", lambda found, rare, on: moved.append((on[-1], rare is not None)) or placed(found, rare, on))
+    rows = sample(300, 3)
+    got = rows_of(phrases.collocations(frame_of(spark, rows).repartition(3), least=5, heads=(3, 1 << 19)))
+    assert got == brute(rows, least=5)
+    assert ("word", bits == 1) in moved and len(moved) == 3
+
+
 def test_top_and_other_widths(spark):
     rows = sample(300, 2)
     frame = frame_of(spark, rows)
