@@ -15,6 +15,7 @@ those is common, so no key of that shuffle is hot.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import zlib
 from collections import Counter, defaultdict
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, head_bound, materialise, pick, slices
@@ -35,6 +36,10 @@ FILTER_BITS = 1 << 26
 HASH_BITS = 59
 #: Counts, and places of sequences, that a task holds before it hands on.
 HOLD_COUNTS, HOLD_PLACES = 400_000, 2_000_000
+#: Places of a row of sequences, where a piece ends so early; rows of a batch that Python hands on.
+ROW_PLACES, BATCH_ROWS = 1 << 14, 1 << 14
+#: What is read and handed to Python at once, while sequences are: their rows are long.
+SMALL = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.parquet.columnarReaderBatchSize": "256"}
 #: A score is this many times the harmonic-like share a / (l + r).
 SCALE = 2_000_000
 
@@ -53,6 +58,37 @@ def squeeze(ids: np.ndarray) -> np.ndarray:
     return ids[some | np.concatenate([[True], some[:-1]])] if len(ids) else ids
 
 
+def _ends(ids: np.ndarray, pending: np.ndarray, most: int) -> list[int]:
+    """Where rows of about ``most`` places end: after a zero that stays, so that no pair is cut. pending: zeros that may get an id."""
+    stop = ids == 0
+    stop[pending] = False
+    stops, ends, start = np.flatnonzero(stop) + 1, [], 0
+    while len(ids) - start > most:
+        i = int(np.searchsorted(stops, start + most, side="right"))  # the last one in reach, else the next
+        start = int(stops[i - 1]) if i and stops[i - 1] > start else int(stops[i]) if i < len(stops) else len(ids)
+        ends.append(start)
+    return ends if ends and ends[-1] == len(ids) else [*ends, len(ids)]
+
+
+def _batches(columns: list[pa.Array], names: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``most`` rows: the JVM holds each one whole."""
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    return (whole.slice(i, most) for i in range(0, whole.num_rows, most))
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While what is inside is run, SMALL holds."""
+    before = {k: spark.conf.get(k) for k in SMALL}
+    try:
+        for k, v in SMALL.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _summed(counts: DataFrame, *keys: str) -> DataFrame:
     """Sums of ``n``; tasks add up before they hand on."""
     return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
@@ -77,6 +113,7 @@ def _filter(rare: DataFrame | None, place: Column) -> np.ndarray | None:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, n``: occurrences of all words in each language; tasks add up first."""
+    most = BATCH_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -86,7 +123,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 del c[b"."]
                 words = sorted(c)
                 columns = [pa.array([lang] * len(c), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array([c[w] for w in words], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+                yield from _batches(columns, ["lang", "word", "n"], most)
             seen.clear()
 
         for b in slices(batches, "text"):
@@ -153,7 +190,7 @@ def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS, hashed: b
         own[r.lang][r.word.encode()] = r.id
     bits = _filter(rare, F.crc32(_key()))
     shared = docs.sparkSession.sparkContext.broadcast((dict(own), bits))
-    rest_too, join, width = rare is not None, rare is not None and not hashed, HASH_BITS
+    rest_too, join, width, row_places = rare is not None, rare is not None and not hashed, HASH_BITS, ROW_PLACES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -162,7 +199,7 @@ def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS, hashed: b
                 by_lang[lang] += tokens(text)
                 by_lang[lang].append(b".")
             for lang, words in by_lang.items():
-                known, rest = shared.value[0].get(lang, {}), []
+                known, left = shared.value[0].get(lang, {}), []
                 ids = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
                 if rest_too:
                     at, start = np.flatnonzero(ids == 0), zlib.crc32(lang.encode() + b"\0")
@@ -171,25 +208,24 @@ def encoded(docs: DataFrame, names: DataFrame, most: int = HEAD_WORDS, hashed: b
                     if hashed:
                         prefix = lang.encode() + b"\0"
                         ids[left] = [_hash_id(int(hashlib.md5(prefix + words[i]).hexdigest()[:15], 16), width) for i in left]
-                    else:
-                        rest = [{"at": i, "lang": lang, "word": words[i].decode()} for i in left]
-                yield _sequence(ids if join else squeeze(ids), rest, "struct<at:int,lang:string,word:string>")
+                if join:
+                    yield _sequence(ids, np.array(left, np.int64), {"lang": pa.array([lang] * len(left), pa.string()), "word": pa.array([words[i].decode() for i in left], pa.string())}, row_places)
+                else:
+                    yield _sequence(squeeze(ids), None, {"lang": pa.array([], pa.string()), "word": pa.array([], pa.string())}, row_places)
 
     found = docs.mapInArrow(run, "ids array<long>, rest array<struct<at:int,lang:string,word:string>>")
     return _placed(found, rare if join else None, ["lang", "word"])
 
 
-_REST = {
-    "struct<at:int,lang:string,word:string>": pa.struct([("at", pa.int32()), ("lang", pa.string()), ("word", pa.string())]),
-    "struct<at:int,left:long,right:long>": pa.struct([("at", pa.int32()), ("left", pa.int64()), ("right", pa.int64())]),
-}
-
-
-def _sequence(ids: np.ndarray, rest: list[dict] | pa.StructArray, kind: str) -> pa.RecordBatch:
-    if isinstance(rest, list):
-        rest = pa.array(rest, _REST[kind])
-    cut = lambda n: pa.array([0, n], pa.int32())
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut(len(ids)), pa.array(ids)), pa.ListArray.from_arrays(cut(len(rest)), rest)], ["ids", "rest"])
+def _sequence(ids: np.ndarray, at: np.ndarray | None, names: dict[str, pa.Array], most: int) -> pa.RecordBatch:
+    """Rows of ``ids``; rest: the places ``at`` in a row, ascending, to which the names of ``names`` may belong."""
+    at = np.zeros(0, np.int64) if at is None else at
+    ends = _ends(ids, at, most)
+    starts = np.array([0, *ends[:-1]])
+    row = np.searchsorted(ends, at, side="right")
+    rest = pa.StructArray.from_arrays([pa.array((at - starts[row]).astype(np.int32)), *names.values()], ["at", *names])
+    cut = lambda x: pa.array(np.array([0, *x], np.int32))
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cut(ends), pa.array(ids)), pa.ListArray.from_arrays(cut(np.searchsorted(at, ends)), rest)], ["ids", "rest"])
 
 
 def _placed(found: DataFrame, rare: DataFrame | None, on: list[str]) -> DataFrame:
@@ -224,23 +260,25 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def pair_counts(sequences: DataFrame) -> DataFrame:
     """``left, right, n``: how often two ids stand beside each other."""
+    most = BATCH_ROWS
 
-    def count(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def count(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))])
         own, code = np.unique(ids, return_inverse=True)
         both = (ids[:-1] != 0) & (ids[1:] != 0)
         keys, n = np.unique(code[:-1][both] * len(own) + code[1:][both], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(own[keys // len(own)]), pa.array(own[keys % len(own)]), pa.array(n)], ["left", "right", "n"])
+        return _batches([pa.array(own[keys // len(own)]), pa.array(own[keys % len(own)]), pa.array(n)], ["left", "right", "n"], most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, places = [], 0
         for ids in _arrays(batches):
             held.append(ids)
-            if sum(map(len, held)) > HOLD_PLACES:
-                yield count(held)
-                held = []
+            places += len(ids)
+            if places > HOLD_PLACES:
+                yield from count(held)
+                held, places = [], 0
         if held:
-            yield count(held)
+            yield from count(held)
 
     return _summed(sequences.mapInArrow(run, "left long, right long, n long"), "left", "right")
 
@@ -275,7 +313,7 @@ def renamed(sequences: DataFrame, names: DataFrame, most: int = HEAD_PAIRS) -> D
     place = _pair_place(F.col("left"), F.col("right"))
     bits = _filter(rare, place.bitwiseXOR(F.shiftright(place, 29)))
     shared = sequences.sparkSession.sparkContext.broadcast((tuple(got.column(c).to_numpy() for c in ("left", "right", "id")), bits))
-    rest_too = rare is not None
+    rest_too, row_places = rare is not None, ROW_PLACES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PairTable(*shared.value[0])
@@ -285,10 +323,9 @@ def renamed(sequences: DataFrame, names: DataFrame, most: int = HEAD_PAIRS) -> D
                 at = np.flatnonzero((new == 0) & (ids[:-1] != 0) & (ids[1:] != 0))
                 places = _pair_place(ids[at], ids[at + 1])
                 at = at[_set(shared.value[1], places ^ (places >> 29))]
-                columns = [pa.array(at.astype(np.int32)), pa.array(ids[at]), pa.array(ids[at + 1])]
-                yield _sequence(new, pa.StructArray.from_arrays(columns, ["at", "left", "right"]), "")
+                yield _sequence(new, at, {"left": pa.array(ids[at]), "right": pa.array(ids[at + 1])}, row_places)
             else:
-                yield _sequence(squeeze(new), [], "struct<at:int,left:long,right:long>")
+                yield _sequence(squeeze(new), None, {"left": pa.array([], pa.int64()), "right": pa.array([], pa.int64())}, row_places)
 
     found = sequences.mapInArrow(run, "ids array<long>, rest array<struct<at:int,left:long,right:long>>")
     return _placed(found, rare, ["left", "right"])
@@ -386,7 +423,8 @@ def collocations(docs: DataFrame, least: int = 30, widest: int = 4, covered: int
     """
     wide = lambda c: c.cast("decimal(20,0)")
     score = lambda l, r: F.call_function("div", wide(F.col("a")) * F.lit(SCALE).cast("decimal(7,0)"), wide(l) + wide(r))
-    levels, names, totals = frequent_phrases(docs, least, widest, heads)
+    with _small_batches(docs.sparkSession):
+        levels, names, totals = frequent_phrases(docs, least, widest, heads)
     phrases, longer = None, None
     for k, level in enumerate(levels, 2):
         level = level.withColumn("k", F.lit(k))

@@ -82,6 +82,38 @@ def test_words_that_are_not_broadcast_move_no_sequence(spark, monkeypatch, bits)
     assert ("word", bits == 1) in moved and len(moved) == 3
 
 
+@pytest.mark.parametrize("bits,heads", [(59, (3, 4)), (1, (3, 4)), (59, (1 << 17, 1 << 19))])
+def test_rows_of_sequences_are_short(spark, monkeypatch, bits, heads):
+    """A slice's sequence is cut into rows at the ends of pieces, never inside one, wherever the ids come from."""
+    lengths, placed = [], phrases._placed
+
+    def watched(found, rare, on):
+        out = placed(found, rare, on)
+        lengths.append([len(r.ids) for r in out.collect()])
+        return out
+
+    for name, value in (("HASH_BITS", bits), ("ROW_PLACES", 50), ("BATCH_ROWS", 7)):
+        monkeypatch.setattr(phrases, name, value, raising=False)
+    monkeypatch.setattr(phrases, "_placed", watched)
+    rows = [*sample(300, 4), ("new york city of the big a " * 40, "en")]
+    got = rows_of(phrases.collocations(frame_of(spark, rows).repartition(3), least=5, heads=heads))
+    assert got == brute(rows, least=5)
+    assert all(len(n) > 15 and sorted(n)[-2] <= 100 for n in lengths) and max(lengths[0]) > 200
+
+
+def test_cuts_keep_every_place():
+    rng = random.Random(9)
+    for _ in range(40):
+        n = rng.randint(0, 60_000)
+        ids = phrases.np.array([rng.randint(1, 9) if rng.random() > rng.choice([0.0001, 0.3]) else 0 for _ in range(n)], dtype="int64")
+        at = phrases.np.array([i for i in phrases.np.flatnonzero(ids == 0).tolist() if rng.random() < 0.5], dtype="int64")
+        ends = phrases._ends(ids, at, 1 << 14)
+        assert ends[-1] == n and ends == sorted(set(ends)) and all(ids[e - 1] == 0 and e - 1 not in set(at.tolist()) for e in ends[:-1])
+        got = phrases._sequence(ids, at, {"left": phrases.pa.array(at), "right": phrases.pa.array(at)}, 1 << 14).to_pylist()
+        assert [x for r in got for x in r["ids"]] == ids.tolist()
+        assert [s + x["at"] for s, r in zip([0, *ends], got) for x in r["rest"]] == at.tolist() == [x["left"] for r in got for x in r["rest"]]  # noqa: B905
+
+
 def test_top_and_other_widths(spark):
     rows = sample(300, 2)
     frame = frame_of(spark, rows)
